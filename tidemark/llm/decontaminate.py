@@ -19,13 +19,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, settled
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Not a word, as it holds a control character: closes each document's list of words and carries its length.
 CLOSING = "\x01"
 #: Words of benchmark items that one broadcast holds at most; more items are taken in several passes.
 BLOCK_WORDS = 500_000
+CANDIDATE = "struct<item:string,o:int,size:int,starts:array<int>,iw:array<string>>"
 
 
 def words(text: Column) -> Column:
@@ -45,8 +46,8 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> list[DataFr
 def prefix_tokens(block: DataFrame, documents_words: DataFrame, window: int) -> DataFrame:
     """(token, item, o, size, starts, iw): the windows of an item whose rarest word is its word number ``o``."""
     vocabulary = block.select(F.explode("iw").alias("token")).distinct()
-    seen = documents_words.select(F.explode("dw").alias("token")).join(F.broadcast(vocabulary), "token").groupBy("token").count()
-    placed = block.select("item", "iw", F.posexplode("iw").alias("o", "token")).join(F.broadcast(seen), "token", "left")
+    seen = documents_words.select(F.explode_outer("dw").alias("token")).join(F.broadcast(vocabulary), "token").groupBy("token").count()
+    placed = block.select("item", "iw", F.posexplode_outer("iw").alias("o", "token")).join(F.broadcast(seen), "token", "left")
     ranked = placed.groupBy("item", "iw").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("o", F.coalesce("count", F.lit(0)).alias("df"), "token"))),
@@ -76,37 +77,40 @@ def _covered(found: Column, size: Column) -> Column:
 def find_contamination(documents: DataFrame, items: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
     """For each document row: doc_id, row, n_words, n_hit, items (ids as text, ascending).
 
-    ``row`` tells apart rows of the same doc_id.
+    ``row`` tells apart rows of the same doc_id. The join sees single words only; whole texts are fetched again for
+    the documents with candidates, so no row of the join carries a document.
     """
-    docs = documents.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("dw"))
+    texts = documents.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    docs = texts.select("doc_id", "row", words(F.col("text")).alias("dw"))
+    closing = documents.sparkSession.range(1).select(F.lit(CLOSING).alias("token"), F.lit(None).cast(CANDIDATE).alias("window"))
+    there = docs.select("doc_id", "row", F.posexplode_outer(F.concat("dw", F.array(F.lit(CLOSING)))).alias("p", "token"))
     found = None
     for k, block in enumerate(item_blocks(items, block_words)):
-        tokens = prefix_tokens(block, docs, window).select("token", F.col("item").cast("string").alias("item"), "o", "size", "starts", "iw")
-        closing = documents.sparkSession.range(1).select(
-            F.lit(CLOSING).alias("token"), F.lit(None).cast("string").alias("item"), F.lit(0).alias("o"), F.lit(0).alias("size"),
-            F.array().cast("array<int>").alias("starts"), F.array().cast("array<string>").alias("iw"),
-        )
-        table = tokens if k else tokens.unionByName(closing)
-        there = docs.select("doc_id", "row", "dw", F.posexplode(F.concat("dw", F.array(F.lit(CLOSING)))).alias("p", "token"))
-        joined = there.join(F.broadcast(table), "token")
-        begin = F.transform("starts", lambda s: s + F.col("p") - F.col("o"))
-        held = F.filter(
-            begin,
-            lambda b: (b >= 0)
-            & (b + F.col("size") <= F.size("dw"))
-            & (F.slice("dw", F.greatest(b, F.lit(0)) + 1, F.col("size")) == F.slice("iw", b - F.col("p") + F.col("o") + 1, F.col("size"))),
-        )
-        hits = joined.select("doc_id", "row", "p", "item", "size", F.when(F.col("item").isNotNull(), held).alias("held"))
-        hits = hits.where(F.col("item").isNull() | (F.size("held") > 0)).select(
-            "doc_id", "row", F.when(F.col("item").isNull(), F.col("p")).alias("n_words"), "item",
-            F.when(F.col("item").isNotNull(), _covered(F.col("held"), F.col("size"))).alias("covered"),
-        )
-        found = hits if found is None else found.unionByName(hits)
-    return (
-        found.groupBy("doc_id", "row")
-        .agg(F.max("n_words").alias("n_words"), F.collect_list("covered").alias("covered"), F.array_sort(F.collect_set("item")).alias("items"))
-        .select("doc_id", "row", F.col("n_words").cast("long").alias("n_words"), F.size(F.array_distinct(F.flatten("covered"))).cast("long").alias("n_hit"), "items")
+        shape = F.struct(F.col("item").cast("string").alias("item"), "o", "size", "starts", "iw").cast(CANDIDATE)
+        tokens = prefix_tokens(block, docs, window).select("token", shape.alias("window"))
+        joined = there.join(F.broadcast(tokens if k else tokens.unionByName(closing)), "token").select("doc_id", "row", "p", "window")
+        found = joined if found is None else found.unionByName(joined)
+    seen = found.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.max(F.when(F.col("window").isNull(), F.col("p"))).cast("long").alias("n_words"),
+        F.collect_list(F.when(F.col("window").isNotNull(), F.struct("p", "window"))).alias("found"),
     )
+    seen = settled(seen)
+    some = F.size("found") > 0
+    clean = seen.where(~some).select("doc_id", "row", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    held = seen.where(some).join(texts.select("row", "text"), "row").withColumn("dw", words(F.col("text")))
+    held = held.withColumn("held", F.transform("found", lambda x: F.struct(_verified(F.col("dw"), x["p"], x["window"]).alias("begin"), x["window"]["size"].alias("size"), x["window"]["item"].alias("item"))))
+    held = held.withColumn("held", F.filter("held", lambda x: F.size(x["begin"]) > 0))
+    covered = F.array_distinct(F.flatten(F.transform("held", lambda x: _covered(x["begin"], x["size"]))))
+    named = F.array_sort(F.array_distinct(F.transform("held", lambda x: x["item"])))
+    return clean.unionByName(held.select("doc_id", "row", "n_words", F.size(covered).cast("long").alias("n_hit"), named.alias("items")))
+
+
+def _verified(dw: Column, p: Column, w: Column) -> Column:
+    """Where in the document the windows begin that are there word by word, given their rarest word at ``p``."""
+    begin = F.transform(w["starts"], lambda s: s + p - w["o"])
+    inside = F.filter(begin, lambda b: (b >= 0) & (b + w["size"] <= F.size(dw)))
+    return F.filter(inside, lambda b: F.slice(dw, b + 1, w["size"]) == F.slice(w["iw"], b - p + w["o"] + 1, w["size"]))
 
 
 def contaminated(n_hit: Column, n_words: Column, part: int = 20) -> Column:
