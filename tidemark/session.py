@@ -20,3 +20,22 @@ def local_session(cpus: int | None = None, name: str = "tidemark") -> SparkSessi
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def ensure_importable(spark: SparkSession) -> None:
+    """Ships the package to Python workers that would not find it by themselves."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    places = [Path.cwd(), *map(Path, filter(None, os.environ.get("PYTHONPATH", "").split(":")))]
+    context = spark.sparkContext
+    if root in [p.resolve() for p in places] or getattr(context, "_tidemark_shipped", False):
+        return
+    to = Path(tempfile.mkdtemp()) / "tidemark.zip"
+    with zipfile.ZipFile(to, "w") as made:
+        for file in sorted((root / "tidemark").rglob("*.py")):
+            made.write(file, file.relative_to(root))
+    context.addPyFile(str(to))
+    context._tidemark_shipped = True
