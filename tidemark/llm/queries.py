@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing
+from . import chat_format, decontaminate, mixing, token_counts, token_files, topk_search
 from .common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk_search.top_k(vectors, vectors.where(topk_search.divisible(F.col("id"))), k=10)
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -32,6 +53,18 @@ SELECT doc_id, size, source_size, target, ((((upto + off) >> 24) - ((upto - shar
 """
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_token_set(spark)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=0)
+    return token_files.read_tokens(spark, path, with_ids=False)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -88,9 +121,12 @@ FROM r GROUP BY conv_id
 """
 
 QUERIES = {
+    "op2_topk_search": op2_topk_search,
     "op3_mix_sources": op3_mix_sources,
+    "op6_token_files": op6_token_files,
+    "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_format_chats": op10_format_chats,
 }
 
-ORACLES = {"op3_mix_sources": OP3_SQL, "op9_decontaminate": OP9_SQL, "op10_format_chats": OP10_SQL}
+ORACLES = {"op2_topk_search": OP2_SQL, "op3_mix_sources": OP3_SQL, "op9_decontaminate": OP9_SQL, "op10_format_chats": OP10_SQL}
