@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, token_counts, token_files, topk_search
-from .common import table
+from . import chat_format, decontaminate, mixing, sharding, token_counts, token_files, topk_search
+from .common import settled, table
 
 
 def tokenizer_path() -> str:
@@ -53,6 +53,13 @@ SELECT doc_id, size, source_size, target, ((((upto + off) >> 24) - ((upto - shar
 """
 
 
+def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    narrow = docs.select("doc_id", sharding.record_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), F.xxhash64("text").alias("text_hash"))
+    placed = sharding.assign_shards(settled(narrow), 24, size="size", text_hash="text_hash")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_token_set(spark)
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=0)
@@ -123,6 +130,7 @@ FROM r GROUP BY conv_id
 QUERIES = {
     "op2_topk_search": op2_topk_search,
     "op3_mix_sources": op3_mix_sources,
+    "op5_shard": op5_shard,
     "op6_token_files": op6_token_files,
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
