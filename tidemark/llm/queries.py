@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, sharding, token_counts, token_files, topk_search
-from .common import settled, table
+from . import chat_format, decontaminate, language_id, mixing, sharding, token_counts, token_files, topk_search, toxicity
+from .common import fold_of, held_out, settled, table
 
 
 def tokenizer_path() -> str:
@@ -15,6 +15,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(fold_of(F.col("doc_id")) != 0))
+    return language_id.identify(docs.drop("lang"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk_search.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk_search.top_k(vectors, vectors.where(topk_search.divisible(F.col("id"))), k=10)
@@ -53,6 +59,19 @@ SELECT doc_id, size, source_size, target, ((((upto + off) >> 24) - ((upto - shar
 """
 
 
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Counts from folds 2 to 4 of the labelled documents, the curve from fold 1; fold 0 is never seen."""
+    fold = fold_of(F.col("doc_id"))
+    labelled = documents.select("doc_id", "text").join(labels.where(fold != 0).select("doc_id", "toxic"), "doc_id")
+    return toxicity.train(labelled.where(fold != 1), labelled.where(fold == 1))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     narrow = docs.select("doc_id", sharding.record_size(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), F.xxhash64("text").alias("text_hash"))
@@ -128,8 +147,10 @@ FROM r GROUP BY conv_id
 """
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_topk_search": op2_topk_search,
     "op3_mix_sources": op3_mix_sources,
+    "op4_toxicity": op4_toxicity,
     "op5_shard": op5_shard,
     "op6_token_files": op6_token_files,
     "op8_token_counts": op8_token_counts,
