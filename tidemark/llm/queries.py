@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, mixing, sharding, token_counts, token_files, topk_search, toxicity
+from . import chat_format, decontaminate, language_id, mixing, sharding, simhash, token_counts, token_files, topk_search, toxicity
 from .common import fold_of, held_out, settled, table
 
 
@@ -85,6 +85,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path, with_ids=False)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, most=4)
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    hexed = F.lower(F.lpad(F.hex(F.col("f")[0]), 16, "0"))
+    return found.join(least, "component").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
@@ -153,6 +160,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_shard": op5_shard,
     "op6_token_files": op6_token_files,
+    "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_format_chats": op10_format_chats,
