@@ -1,6 +1,8 @@
-"""The registered queries of the reference's own operators, with their SQL."""
+"""All registered queries of the reference's own operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import aggregates, evaluating, geometry, linking, relational, searching, streams, texts, timing, trialling  # noqa: F401  (they register their queries)
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
