@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settled
+
 SIZES = (2, 3)
 SLOT_BITS, HASHES, SHARE, LEAST = 20, 3, 0.3, 2
 PIECE = 400_000
@@ -159,7 +161,7 @@ def train(labelled: DataFrame, bits: int = SLOT_BITS) -> Filter:
     if not languages:
         return Filter([], "und", np.zeros((1, 1), np.uint64), np.zeros(0), 0)
     words = -(-len(languages) // 64)
-    counts = count_grams(labelled)
+    counts = settled(count_grams(labelled))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rate = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
     place = F.create_map(*[x for k, lang in enumerate(languages) for x in (F.lit(lang), F.lit(k))])
