@@ -62,7 +62,8 @@ SELECT doc_id, size, source_size, target, ((((upto + off) >> 24) - ((upto - shar
 def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Counts from folds 2 to 4 of the labelled documents, the curve from fold 1; fold 0 is never seen."""
     fold = fold_of(F.col("doc_id"))
-    labelled = documents.select("doc_id", "text").join(labels.where(fold != 0).select("doc_id", "toxic"), "doc_id")
+    told = labels.where(fold != 0).select("doc_id", "toxic").hint("shuffle_hash")  # the same plan at every size
+    labelled = documents.where(fold != 0).select("doc_id", "text").join(told, "doc_id")
     return toxicity.train(labelled.where(fold != 1), labelled.where(fold == 1))
 
 
