@@ -53,10 +53,11 @@ def _range_of(key: Column, tie: Column, splitters: list[tuple[int, int]]) -> Col
             k, t = k.to_numpy(np.int64), t.to_numpy(np.int64)
             low, high = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
             tied = np.nonzero(high > low)[0]
+            out = low.copy()
             for at in np.unique(low[tied]):
                 rows = tied[low[tied] == at]
-                low[rows] += np.searchsorted(ties[at : high[rows[0]]], t[rows], "right")
-            yield pd.Series(low.astype(np.int32))
+                out[rows] += np.searchsorted(ties[at : high[rows[0]]], t[rows], "right")
+            yield pd.Series(out.astype(np.int32))
 
     return ranged(key, tie)
 
