@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from itertools import chain, islice
 
 import numpy as np
@@ -40,15 +41,13 @@ class Pieces:
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        self.inner = Tokenizer.from_file(path)
-        self.inner.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         added = self.whole.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
         plain = all(not (t.single_word or t.lstrip or t.rstrip) for t in added.values())
         self.splits = plain and self.whole.normalizer is None and isinstance(self.whole.pre_tokenizer, pre_tokenizers.ByteLevel)
         marks = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
-        self.width = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width, self.code = ("<u2", "H") if self.whole.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.ids: dict[str, bytes] = {}
         self.counts: dict[str, tuple[int, ...]] = {}
         self.model, self.vocabulary = self.whole.model, set(self.whole.get_vocab(with_added_tokens=False))
@@ -86,8 +85,9 @@ class Pieces:
         if len(self.ids) + len(new) > KEPT:
             self.ids.clear()
             new = list(set(pieces))
-        for p, e in zip(new, self.inner.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.ids[p] = np.array(e.ids, dtype=self.width).tobytes()
+        for p in new:
+            found = self.model.tokenize(p.encode().decode("latin-1").translate(self.table))
+            self.ids[p] = struct.pack(f"<{len(found)}{self.code}", *[t.id for t in found])
 
     def encode(self, text: str) -> bytes:
         """All ids of a text as little-endian numbers of ``width``."""
