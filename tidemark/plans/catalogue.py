@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, evaluating, geometry, linking, records, relational, searching, streams, texts, timing, trialling  # noqa: F401  (they register their queries)
+from . import aggregates, calendars, evaluating, geometry, linking, records, relational, searching, streams, texts, timing, trialling  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
