@@ -165,18 +165,15 @@ def train(labelled: DataFrame, bits: int = SLOT_BITS) -> Filter:
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rate = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
     place = F.create_map(*[x for k, lang in enumerate(languages) for x in (F.lit(lang), F.lit(k))])
-    marked = rate.groupBy("code").agg(F.max("rate").alias("top"), F.sum("n").alias("all"), F.collect_list(F.struct(place[F.col("lang")].alias("k"), "rate")).alias("by"))
-    marked = marked.where(F.col("all") >= LEAST).select("code", F.transform(F.filter("by", lambda x: x["rate"] >= SHARE * F.col("top")), lambda x: x["k"]).alias("ks"))
+    top = rate.groupBy("code").agg(F.max("rate").alias("top"), F.sum("n").alias("all")).where(F.col("all") >= LEAST)
+    marked = rate.join(top, "code").where(F.col("rate") >= SHARE * F.col("top")).select("code", place[F.col("lang")].alias("k"))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            masks = np.zeros((len(rows), words), np.uint64)
-            for row, ks in zip(masks, rows["ks"], strict=True):
-                for k in ks:
-                    row[k // 64] |= np.uint64(1) << np.uint64(k % 64)
+            k = rows["k"].to_numpy(np.int64)
+            bit = (np.uint64(1) << (k % 64).astype(np.uint64)).view(np.int64)
             for slots in slots_of(rows["code"].to_numpy(np.int64).view(np.uint64), bits):
-                for w in range(words):
-                    yield pd.DataFrame({"slot": slots, "word": w, "mask": masks[:, w].view(np.int64)})
+                yield pd.DataFrame({"slot": slots, "word": k // 64, "mask": bit})
 
     slots = marked.mapInPandas(spread, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
     masks = np.zeros((1 << bits, words), np.uint64)
