@@ -63,7 +63,7 @@ def fingerprint(text: str | None, shingle: int, planes: int = 1) -> list[int]:
         some = [hashed(whole[a:b], SEED) for a, b in zip(first[at : at + STRIDE].tolist(), last[at : at + STRIDE].tolist(), strict=True)]
         h = np.array(some, np.uint64)
         for p in range(planes):
-            x = h if p == 0 else _mixed(h + np.uint64(p) * np.uint64(0x9E3779B97F4A7C15))
+            x = h if p == 0 else _mixed(h + np.uint64(p * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
             counts[p] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits((2 * counts > n).astype(np.uint8), axis=1, bitorder="little").view("<u8").reshape(-1).tolist()
 
