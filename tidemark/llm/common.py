@@ -39,6 +39,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of shuffles and kept tables that nothing refers to any more: Spark deletes them when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 

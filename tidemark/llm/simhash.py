@@ -9,7 +9,8 @@ the result. Every distinct fingerprint is put at its own key of each partition a
 threshold; whole fingerprints that meet at a key are compared, and only a spanning forest of the links there is kept.
 Keys with very many rows are dealt over several tasks in a grid.
 
-For the stricter use on similar texts, longer fingerprints of ``PLANES`` times 64 bits confirm a link.
+For the stricter use on similar texts, longer fingerprints of ``PLANES`` times 64 bits confirm a link; ``near_copies``
+takes such links as candidates only, so the forest then holds links themselves, the most similar ones first.
 
 Defined results: words are runs of characters other than ASCII white space, A-Z lower-cased; fewer words than a
 shingle has make one shingle; no words (or null) make fingerprint zero, linked like any other; repeated rows and
@@ -20,7 +21,7 @@ no rows. Other columns are not carried.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -49,25 +50,36 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int, planes: int = 1) -> list[int]:
-    """The planes of a text's fingerprint; hashes of planes after the first are mixed from the shingle's hash."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """The 64-bit hashes of a text's shingles, with repeats, some at a time."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * planes
+        return
     whole, sizes = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts, n = ends - sizes, max(1, len(words) - shingle + 1)
     first, last = starts[:n], ends[min(shingle, len(words)) - 1 :]
-    counts, hashed = np.zeros((planes, 64), np.int64), xxhash.xxh64_intdigest
+    hashed = xxhash.xxh64_intdigest
     for at in range(0, n, STRIDE):
         some = [hashed(whole[a:b], SEED) for a, b in zip(first[at : at + STRIDE].tolist(), last[at : at + STRIDE].tolist(), strict=True)]
-        h = np.array(some, np.uint64)
+        yield np.array(some, np.uint64)
+
+
+def fingerprint_of(hashes: Iterable[np.ndarray], planes: int = 1) -> list[int]:
+    """The planes of a fingerprint; hashes of planes after the first are mixed from the shingle's hash."""
+    counts, n = np.zeros((planes, 64), np.int64), 0
+    for h in hashes:
+        n += len(h)
         for p in range(planes):
             x = h if p == 0 else _mixed(h + np.uint64(p * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
             counts[p] += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits((2 * counts > n).astype(np.uint8), axis=1, bitorder="little").view("<u8").reshape(-1).tolist()
 
 
+def fingerprint(text: str | None, shingle: int, planes: int = 1) -> list[int]:
+    return fingerprint_of(shingle_hashes(text, shingle), planes)
+
+
 def fingerprints(documents: DataFrame, shingle: int, planes: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and ``f``: the planes as an array of longs."""
 
@@ -185,7 +197,7 @@ class Meeting:
             right.append(j[apart])
             size += int(apart.sum())
             if size > 4 * len(every) + 1000:
-                return self._searched()
+                return self._searched() if self.confirm is None else self._nearest()
         return self._joined(np.concatenate(left), np.concatenate(right)) if size else (self.names[:0], self.names[:0])
 
     def _joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,13 +209,42 @@ class Meeting:
                 x = up
             return x
 
-        for a, b in zip(left.tolist(), right.tolist(), strict=True):
-            a, b = top(a), top(b)
+        if self.confirm is not None:  # the links themselves, those with the most similar long fingerprints first
+            order = np.argsort(np.bitwise_count(self.planes[left] ^ self.planes[right]).sum(1, dtype=np.int64), kind="stable")
+            left, right = left[order], right[order]
+        kept = []
+        for x, y in zip(left.tolist(), right.tolist(), strict=True):
+            a, b = top(x), top(y)
             if a != b:
                 parent[max(a, b)] = min(a, b)
+                kept.append((x, y))
+        if self.confirm is not None:
+            return self.names[[a for a, _ in kept]], self.names[[b for _, b in kept]]
         pairs = [(x, top(x)) for x in parent if top(x) != x]
         return self.names[[a for a, _ in pairs]], self.names[[b for _, b in pairs]]
 
+    def _nearest(self) -> tuple[np.ndarray, np.ndarray]:
+        """A forest of the most similar links, grown row by row, for keys with very many confirmed links."""
+        rest, none = np.arange(len(self.names)), 1 << 30
+        best, source = np.full(len(rest), none), np.zeros(len(rest), np.int64)
+        a, b = [], []
+        while rest.size:
+            k = int(best[rest].argmin())
+            if best[rest[k]] == none:
+                roots = np.flatnonzero(self.own[rest])
+                if not roots.size:
+                    break
+                k = int(roots[0])
+            else:
+                a.append(source[rest[k]])
+                b.append(rest[k])
+            new, rest = rest[k], np.delete(rest, k)
+            bits = np.bitwise_count(self.planes[rest] ^ self.planes[new])
+            apart = bits.sum(1, dtype=np.int64)
+            closer = (bits[:, 0] <= self.most) & (apart <= self.confirm) & (self.own[rest] | self.own[new]) & (apart < best[rest])
+            best[rest[closer]], source[rest[closer]] = apart[closer], new
+        return self.names[a], self.names[b]
+
     def _searched(self) -> tuple[np.ndarray, np.ndarray]:
         """Breadth first, for keys with very many links: rows once reached are not compared again."""
         rest, a, b = np.arange(len(self.names)), [], []
