@@ -47,8 +47,10 @@ def test_fingerprints_and_groups(spark, docs):
     rows += [(5000, None), (5001, ""), (5002, " \t"), (None, "Wort1"), (7, "Wort1")]
     fps = [plain_fingerprint(t, 4) for _, t in rows]
     for most in (4, 12):
-        got = {(r.doc_id, r.f[0] & (2**64 - 1)): r.component for r in S.near_duplicates(docs(rows), 4, most).collect()}
-        assert same([got[i, f] for (i, _), f in zip(rows, fps, strict=True)], plain_groups(fps, most))
+        got = {(r.doc_id, r.f[0] & (2**64 - 1)): r.component_id for r in S.near_duplicates(docs(rows), 4, most).collect()}
+        groups = plain_groups(fps, most)
+        least = [min((i for (i, _), g in zip(rows, groups, strict=True) if g == group and i is not None), default=None) for group in groups]
+        assert [got[i, f] for (i, _), f in zip(rows, fps, strict=True)] == least
     assert S.near_duplicates(docs([]), 4, 4).count() == 0
 
 

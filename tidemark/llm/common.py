@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLDS = 5
+#: A key with over so many rows, and over total rows / HOT_KEYS, is hot: there are at most HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 2_000, 10_000
+#: Rows of a narrow table that is sent to all tasks instead of being joined by a shuffle.
+SENT_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +52,30 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def text_key(text: Column) -> Column:
+    """With a document's id this tells its row from all but equal ones, in every scan of the table alike."""
+    return F.xxhash64(text, F.length(text))
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """``df``, a kept narrow table, marked for a broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
+def looked_up(rows: DataFrame, small: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``rows`` left-joined with ``small``, which has a row for each key, its values, and ``n``, how many rows have the key.
+
+    Rows of hot keys meet a broadcast of those keys, of which there are few by their sizes; only the others are shuffled.
+    """
+    total = small.agg(F.sum(n)).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    values = [c for c in small.columns if c not in (key, n)]
+    hot = small.where(F.col(n) > limit).select(key, *values, F.lit(True).alias("_lu_hot"))
+    met = rows.join(F.broadcast(hot), key, "left")
+    cold = met.where(F.col("_lu_hot").isNull()).select(*rows.columns).join(small.where(F.col(n) <= limit).drop(n), key, "left")
+    return met.where("_lu_hot").select(*rows.columns, *values).unionByName(cold.select(*rows.columns, *values))
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; null for a null id."""
     return F.crc32(doc_id.cast("string")) % FOLDS

@@ -93,9 +93,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, most=4)
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    hexed = F.lower(F.lpad(F.hex(F.col("f")[0]), 16, "0"))
-    return found.join(least, "component").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("f")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

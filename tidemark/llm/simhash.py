@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import looked_up, settled
 from .components import components
 
 SEED = 42
@@ -336,10 +336,12 @@ def links(distinct: DataFrame, most: int, confirm: int | None = None, key_rows:
     return met.repartition(parts, "place", "cell").sortWithinPartitions("place", "cell").mapInArrow(meet, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, most: int = 4, planes: int = 1, confirm: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of every row, ``f`` and ``component``: equal for all rows that links connect."""
-    made = settled(fingerprints(documents, shingle, planes, keep).withColumn("name", F.col("f")[0] if planes == 1 else F.xxhash64("f")))
-    distinct = settled(made.groupBy("name").agg(F.first("f").alias("f")))
-    found = components(links(distinct, most, confirm))
-    named = made.join(found.select(F.col("v").alias("name"), "root"), "name", "left")
-    return named.select(*keep, "f", F.coalesce("root", "name").alias("component"))
+def near_duplicates(documents: DataFrame, shingle: int = 5, most: int = 4, keep: tuple[str, ...] = (), doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, kept columns, f, component_id) of every row: the smallest id that links connect with the row's, its own included."""
+    made = settled(fingerprints(documents, shingle, 1, (doc_id, *keep)).withColumn("name", F.col("f")[0]))
+    distinct = settled(made.groupBy("name").agg(F.first("f").alias("f"), F.min(doc_id).alias("least"), F.count("*").alias("rows")))
+    root = components(links(distinct.select("name", "f"), most)).select(F.col("v").alias("name"), "root")
+    named = settled(distinct.join(root, "name", "left").select("name", "rows", "least", F.coalesce("root", "name").alias("component")))
+    of = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    called = settled(looked_up(named, of, "component").select("name", "rows", "component_id"))
+    return looked_up(made, called, "name", "rows").select(doc_id, *keep, "f", "component_id")
