@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from hypothesis import given, settings
@@ -5,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format as C
+from tidemark.llm import queries as Q
 
 
 def run(spark, records):
@@ -46,9 +48,52 @@ def test_round_trip(spark, turns):
         assert len(row.formatted[s.start : s.start + s.length]) >= len(text)
 
 
-def test_rows_of_a_conversation(spark):
-    rows = spark.createDataFrame([(1, 1, "assistant", None), (1, 0, "user", "b"), (1, 0, "user", "b"), (None, None, None, "x")], "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: json.loads(r.record)["messages"] for r in C.conversation_records(rows).collect()}
-    assert [m["content"] for m in got[1]] == ["b", "b", ""]
-    assert got[None] == [{"role": "", "content": "x"}]
-    assert C.conversation_records(rows.limit(0)).count() == 0
+def plain(rows):
+    """What the contract asks of (conv_id, turn, role, text) rows, by conversation."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        turns = sorted((r[1:] for r in rows if r[0] == conv), key=lambda r: tuple((x is not None, x) for x in r))
+        turns = [(r or "", t or "") for _, r, t in turns]
+        learned = "".join(t for r, t in turns if r == "assistant")
+        escaped = [(r.replace("\\", "\\\\").replace("<|", "<\\|").replace("\n", "\\n"), t.replace("\\", "\\\\").replace("<|", "<\\|")) for r, t in turns]
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        out[conv] = (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learned), sha(learned), sum(len(r) + len(t) + 24 for r, t in escaped))
+    return out
+
+
+KIND = "conv_id long, turn long, role string, text string"
+
+
+def queried(spark, stored, rows):
+    sf = stored(conversations=spark.createDataFrame(rows, KIND).withColumn("turns", F.lit(1)).withColumn("formatted", F.lit("x")))
+    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in Q.op10_format_chats(spark, sf).collect()}
+
+
+def test_query_on_odd_rows(spark, stored):
+    rows = [(1, 1, "assistant", None), (1, 0, "user", "b"), (1, 0, "user", "b"), (None, None, None, "x"), (2, 0, "assistant", "<|im_end|>\n\\<|"), (2, 0, "assistant", ""),
+            (2, 3, "sys\ntem", "é😀"), (3, None, "assistant", "z"), (3, 1, "assistant", "a" * 5000)]
+    own = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
+    assert queried(spark, stored, rows) == plain(rows + own)
+
+
+def test_long_turns_and_conversations(spark, stored):
+    """Longer than what one JSON string, or one variant, may be."""
+    rows = [(1, 0, "user", "a<|", 8_000_000), (1, 1, "assistant", "done", 1)] + [(2, k, "assistant" if k % 2 else "user", chr(97 + k), 9_000_000) for k in range(16)]
+    made = spark.createDataFrame(rows, "conv_id long, turn long, role string, unit string, n int")
+    sf = stored(conversations=made.select("conv_id", "turn", "role", F.expr("repeat(unit, n)").alias("text")))
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in Q.op10_format_chats(spark, sf).collect()}
+    assert {k: got[k] for k in (1, 2)} == plain([(c, t, r, u * n) for c, t, r, u, n in rows])
+
+
+def test_long_records(spark):
+    record = F.concat(F.lit('{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "'), F.expr("repeat('a', 21000000)"), F.lit('"}]}'))
+    made = C.canonical_turns(spark.range(1).select(record.alias("record")))
+    assert [tuple(r) for r in made.select("layout", F.length(F.col("turns")[1]["text"])).collect()] == [("messages", 21_000_000)]
+
+
+def test_structs_are_records(spark):
+    rows = spark.createDataFrame([(1, ("q", "a")), (2, None)], "k int, record struct<prompt:string,response:string>")
+    assert [(r.layout, r.turns and [tuple(t) for t in r.turns]) for r in C.canonical_turns(rows).orderBy("k").collect()] == [("prompt_response", [("user", "q"), ("assistant", "a")]), (None, None)]
+    lists = spark.createDataFrame([(([("human", "q")],),)], "record struct<conversations:array<struct<`from`:string,value:string>>>")
+    assert [tuple(t) for t in C.canonical_turns(lists).first().turns] == [("user", "q")]
+    assert C.canonical_turns(spark.createDataFrame([((1,),)], "record struct<x:int>")).first().layout is None

@@ -137,7 +137,7 @@ def op10_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    made = chat_format.format_chats(chat_format.canonical_turns(chat_format.conversation_records(rows)))
+    made = chat_format.format_rows(rows)
     back = made.select("conv_id", "formatted", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.masked_text(F.col("formatted"), F.col("loss_spans")).alias("learned"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
