@@ -31,7 +31,28 @@ def test_equal_texts_stay_together(spark, docs):
     shards = defaultdict(set)
     for r in out:
         shards[r.text].add(r.shard)
-    assert sum(len(v) > 1 for v in shards.values()) <= 3
+    assert all(len(v) == 1 for v in shards.values())
+
+
+def test_groups_of_any_size_below_a_shard_stay_whole(spark, docs):
+    rows = [(k, f"alone {k}") for k in range(3000)] + [(10_000 + 400 * g + k, f"group {g} " * 3) for g in range(8) for k in range(5 + 30 * g)] + [(50_000 + k, "pair") for k in range(2)]
+    out = S.assign_shards(docs(rows), 6).collect()
+    size, shards = check(out, 6), defaultdict(set)
+    for r in out:
+        shards[r.text].add(r.shard)
+    assert all(len(v) == 1 for v in shards.values())
+    assert max(size.values()) - min(size.values()) < 0.03 * sum(size.values()) / 6
+    hot = S.assign_shards(docs(rows + [(90_000 + k, "more than a shard") for k in range(4000)]), 6).collect()
+    size, shards = check(hot, 6), defaultdict(set)
+    for r in hot:
+        shards[r.text].add(r.shard)
+    assert {t for t, v in shards.items() if len(v) > 1} == {"more than a shard"}
+    assert max(size.values()) - min(size.values()) < 0.03 * sum(size.values()) / 6
+
+
+def test_a_text_larger_than_a_shard(spark, docs):
+    out = S.assign_shards(docs([(k, "x" * 50) for k in range(10)] + [(99, "y" * 10_000)]), 4).collect()
+    assert sorted(check(out, 4))[-1] <= 3 and len(out) == 11
 
 
 def test_few_rows(spark, docs):

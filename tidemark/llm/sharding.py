@@ -6,8 +6,9 @@ records are range-partitioned between them into many more ranges than shards. Ra
 subdivided by splitters drawn inside them. Exact sums of the ranges, then running sums inside each range, give every
 record its place in the order of all bytes; the place decides the shard, and the count before it the slot.
 
-Equal texts share a shard, unless together they exceed ``GROUP_PART`` of one (or fill a whole range); then each of
-their rows has a place of its own.
+Equal texts share a shard. Groups of over ``BIG`` of a range (there are few, by their sizes) get ranges of their own and
+are dealt to shards first, the largest to the emptiest; all other records fill the shards up to a common level in the
+order of their keys, a group with its middle. Only a group of more bytes than a shard's share is dealt row by row.
 
 Defined results: a null text has no bytes; each row adds 8 bytes, so empty ones spread too; repeated rows, null ids
 and ties each get a slot of their own; with fewer bytes than shards some shards are empty; an empty table gives no
@@ -16,6 +17,7 @@ rows. Other columns are carried; ones named like the operator's own are replaced
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -31,7 +33,8 @@ from .common import settled
 RANGES_PER_SHARD, ROWS_PER_RANGE, MOST_RANGES = 64, 50_000, 65_536
 #: Sampled keys for each range, and rounds of subdividing overfull ranges (over so many times the mean).
 SAMPLED, ROUNDS, OVERFULL = 8, 4, 3.0
-GROUP_PART = 0.02
+#: Groups over this part of a range's mean bytes are dealt one by one: at most 1 / BIG for each range.
+BIG = 0.25
 
 
 def record_size(text: Column) -> Column:
@@ -62,17 +65,14 @@ def _range_of(key: Column, tie: Column, splitters: list[tuple[int, int]]) -> Col
     return ranged(key, tie)
 
 
-def _quantiles(sample: list, pieces: int, low: tuple[int, int] | None = None) -> list[tuple[int, int]]:
-    """Up to pieces - 1 splitters from (key, tie, weight) rows; whole keys are kept together where one splitter is enough."""
+def _quantiles(sample: list, pieces: int, cut: set[int]) -> list[tuple[int, int]]:
+    """Up to pieces - 1 splitters from (key, tie, weight) rows; only keys in ``cut`` are cut inside."""
     sample = sorted(sample, key=lambda r: (r[0], r[1]))
-    total, run, out, seen = sum(r[2] for r in sample), 0.0, [], set()
+    total, run, out = sum(r[2] for r in sample), 0.0, []
     for key, tie, weight in sample:
         before, run = run, run + weight
         if int(run * pieces / total) > int(before * pieces / total) and int(run * pieces / total) < pieces:
-            first = (key, -(1 << 63))
-            whole = first not in seen and (low is None or first > low)
-            out.append(first if whole else (key, tie))
-            seen.add(first)
+            out.append((key, tie if key in cut else -(1 << 63)))
     return sorted(set(out))
 
 
@@ -83,15 +83,17 @@ def _draw(rows: DataFrame, per: Column, salt: int) -> list:
     return [tuple(r) for r in drawn.select("_sh_key", "_sh_tie", F.greatest(per.cast("double"), F.col("_sh_size").cast("double"))).collect()]
 
 
-def splitters(rows: DataFrame, ranges: int) -> tuple[list[tuple[int, int]], dict[int, tuple[int, int]]]:
+def splitters(rows: DataFrame, ranges: int, cut: set[int]) -> tuple[list[tuple[int, int]], dict[int, tuple[int, int]]]:
     """Splitters of about ``ranges`` ranges over (_sh_key, _sh_tie, _sh_size), and each range's bytes and rows.
 
-    The driver sees samples of about ``SAMPLED * ranges`` keys and one row for each range.
+    Keys in ``cut`` have ranges of their own, several if they are large; no other key is in two ranges. The driver sees
+    samples of about ``SAMPLED * ranges`` keys and one row for each range.
     """
     total = rows.agg(F.sum("_sh_size")).first()[0]
     if not total:
         return [], {}
-    found = _quantiles(_draw(rows, F.lit(total / (ranges * SAMPLED)), 0), ranges)
+    edges = {(k + d, -(1 << 63)) for k in cut for d in (0, 1) if k + d < 1 << 63}
+    found = sorted(edges.union(_quantiles(_draw(rows, F.lit(total / (ranges * SAMPLED)), 0), ranges, cut)))
     for k in range(ROUNDS + 1):
         counted = rows.groupBy(_range_of(F.col("_sh_key"), F.col("_sh_tie"), found).alias("r")).agg(
             F.sum("_sh_size").alias("b"), F.count("*").alias("n"), F.max("_sh_size").alias("m")
@@ -107,7 +109,7 @@ def splitters(rows: DataFrame, ranges: int) -> tuple[list[tuple[int, int]], dict
             by_range.setdefault(bisect_right(edges, (row[0], row[1])), []).append(row)
         new = set(found)
         for r, sample in by_range.items():
-            new |= set(_quantiles(sample, max(2, round(wide.get(r, 0) * ranges / total)), edges[r - 1] if r else None))
+            new |= set(_quantiles(sample, max(2, round(wide.get(r, 0) * ranges / total)), cut))
         if new == set(found):
             return found, {r: (b, n) for r, (b, n, _) in sums.items()}
         found = sorted(new)
@@ -125,25 +127,55 @@ def assign_shards(rows: DataFrame, shards: int = 24, doc_id: str = "doc_id", tex
         *kept, key.alias("_sh_key"), F.xxhash64(F.lit("tie"), F.col(doc_id)).alias("_sh_tie"), (record_size(F.col(text)) if size is None else F.col(size)).alias("_sh_size")
     )
     narrow = settled(keyed.select("_sh_key", "_sh_tie", "_sh_size"))
-    n = narrow.count()
+    n, total = narrow.agg(F.count("*"), F.coalesce(F.sum("_sh_size"), F.lit(0))).first()
     ranges = min(MOST_RANGES, max(RANGES_PER_SHARD * shards, n // ROWS_PER_RANGE))
-    found, sums = splitters(narrow, ranges)
-    total = sum(b for b, _ in sums.values())
-    before, at, count = [], 0, 0
+    groups = narrow.groupBy("_sh_key").agg(F.sum("_sh_size").alias("b"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("b") > BIG * total / ranges))
+    big = {r["_sh_key"]: r["b"] for r in groups.collect()}  # at most ranges / BIG
+    over = {k for k, b in big.items() if b * shards > total}
+    home, ends = dealt({k: b for k, b in big.items() if k not in over}, total, shards)
+    found, sums = splitters(narrow, ranges, set(big))
+    offsets, free, count, own = [], 0, 0, [0] * shards
     for r in range(len(found) + 1):
-        before.append((at, count))
-        at, count = at + sums.get(r, (0, 0))[0], count + sums.get(r, (0, 0))[1]
+        bytes_in, rows_in = sums.get(r, (0, 0))
+        shard = home.get(found[r - 1][0]) if r else None
+        if shard is None:
+            offsets.append((r, free, count, None))
+            free, count = free + bytes_in, count + rows_in
+        else:
+            offsets.append((r, 0, own[shard], shard))
+            own[shard] += rows_in
     ranged = keyed.withColumn("_sh_r", _range_of(F.col("_sh_key"), F.col("_sh_tie"), found))
-    offsets = rows.sparkSession.createDataFrame([(r, b, c) for r, (b, c) in enumerate(before)], "_sh_r2 int, _sh_b long, _sh_n long")
+    places = rows.sparkSession.createDataFrame(offsets, "_sh_r2 int, _sh_b long, _sh_n long, _sh_home int")
     order = Window.partitionBy("_sh_r").orderBy("_sh_key", "_sh_tie", doc_id)
-    upto, same = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("_sh_r", "_sh_key").orderBy("_sh_tie", doc_id)
-    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    laid = ranged.join(F.broadcast(offsets), F.col("_sh_r") == F.col("_sh_r2"))
+    upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("_sh_r", "_sh_key")
+    laid = ranged.join(F.broadcast(places), F.col("_sh_r") == F.col("_sh_r2"))
     laid = laid.withColumn("_sh_start", F.col("_sh_b") + F.sum("_sh_size").over(upto) - F.col("_sh_size")).withColumn("_sh_row", F.col("_sh_n") + F.row_number().over(order) - 1)
-    together = F.sum("_sh_size").over(whole) <= max(1.0, GROUP_PART * total / shards)
     middle = lambda start, size: start + size / 2  # noqa: E731  of a row's or a whole group's bytes
-    spot = F.when(together, middle(F.min("_sh_start").over(whole), F.sum("_sh_size").over(whole))).otherwise(middle(F.col("_sh_start"), F.col("_sh_size")))
-    laid = laid.withColumn("shard", F.least(F.lit(shards - 1), F.floor(spot * shards / max(1, total))).cast("int"))
-    firsts = {r["shard"]: r["f"] for r in laid.groupBy("shard").agg(F.min("_sh_row").alias("f")).collect()}
-    first = F.create_map(*[F.lit(x) for pair in firsts.items() for x in pair]) if firsts else F.create_map().cast("map<int,bigint>")
-    return laid.withColumn("slot", (F.col("_sh_row") - first[F.col("shard")]).cast("long")).select(*kept, "shard", "slot")
+    alone = F.col("_sh_key").isin(list(over)) if over else F.lit(False)
+    spot = F.when(alone, middle(F.col("_sh_start"), F.col("_sh_size"))).otherwise(middle(F.min("_sh_start").over(whole), F.sum("_sh_size").over(whole)))
+    passed = F.filter(F.array(*[F.lit(float(e)) for e in ends]), lambda e: e <= F.col("_sh_spot"))
+    laid = laid.withColumn("_sh_spot", spot).withColumn("shard", F.coalesce("_sh_home", F.least(F.size(passed), F.lit(shards - 1))).cast("int"))
+    seen = laid.groupBy("shard").agg(F.min(F.when(F.col("_sh_home").isNull(), F.col("_sh_row"))).alias("f"), F.count(F.when(F.col("_sh_home").isNull(), 1)).alias("c")).collect()
+    lookup = lambda c: F.create_map(*[F.lit(x) for r in seen for x in (r["shard"], r[c] or 0)]).cast("map<int,bigint>")[F.col("shard")] if seen else F.lit(0)
+    slot = F.when(F.col("_sh_home").isNull(), F.col("_sh_row") - lookup("f")).otherwise(F.col("_sh_row") + lookup("c"))
+    return laid.withColumn("slot", slot.cast("long")).select(*kept, "shard", "slot")
+
+
+def dealt(groups: dict[int, int], total: int, shards: int) -> tuple[dict[int, int], list[float]]:
+    """Each group's shard, the largest groups first, and where in the other records' bytes each shard ends."""
+    room, home = [(0, k) for k in range(shards)], {}
+    for key, size in sorted(groups.items(), key=lambda g: (-g[1], g[0])):
+        filled, shard = heapq.heappop(room)
+        home[key] = shard
+        heapq.heappush(room, (filled + size, shard))
+    by_shard = dict((k, b) for b, k in room)
+    rest, level = total - sum(groups.values()), 0.0
+    for n, (filled, _) in enumerate(sorted(room), 1):  # the level that the other records fill the emptiest n shards to
+        level = (rest + sum(b for b, _ in sorted(room)[:n])) / n
+        if n == shards or level <= sorted(room)[n][0]:
+            break
+    ends, at = [], 0.0
+    for k in range(shards):
+        at += max(0.0, level - by_shard[k])
+        ends.append(at)
+    return home, ends
