@@ -19,6 +19,26 @@ def test_language_held_out(spark, docs):
     assert language_id.identify(docs([(1, "qqq")]), model).first().score == 0
 
 
+def test_parts_of_a_text_have_its_ngrams(monkeypatch):
+    import numpy as np
+
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("aß Ж.é1中\U00010400") for _ in range(n)) for n in (0, 1, 2, 5, 40, 300)]
+
+    def all_of():
+        found = [[] for _ in texts]
+        for codes, owner in language_id.grams(texts):
+            for c, k in zip(codes.tolist(), owner.tolist(), strict=True):
+                found[k].append(c)
+        return [sorted(x) for x in found]
+
+    whole = all_of()
+    for size in (3, 7, 50):
+        monkeypatch.setattr(language_id, "PIECE", size)
+        assert all_of() == whole
+    assert [len(x) for x in whole][:2] == [0, len(whole[1])] and np.all([len(x) for x in whole[3:]])
+
+
 def test_language_without_labels(spark, docs):
     model = language_id.train(docs([(1, "a", None)]))
     assert [(r.lang_pred, r.score) for r in language_id.identify(docs([(1, "abc"), (2, None)]), model).collect()] == [("und", 0.0)] * 2

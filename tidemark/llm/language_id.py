@@ -8,8 +8,9 @@ document the bits of its n-grams are counted by language, the counts are correct
 positives (its share of set bits to the power of ``HASHES``), and the language with the highest corrected count wins;
 ties go to the first in code-point order.
 
-Texts are taken whole: lower-cased, with runs of anything but letters as one space, and with a space at either end;
-texts over ``PIECE`` characters are taken in pieces, each as a text of its own, and their counts are added up.
+Texts are taken whole: lower-cased, with runs of anything but letters as one space, and with a space at either end.
+Long texts pass in parts of ``PIECE`` characters that begin with the last letters of the part before, so their n-grams
+are those of the whole text. N-grams seen fewer than ``LEAST`` times in all teach nothing.
 
 Defined results: ``und`` with score 0 for texts that are null or have no letter, and for all if nothing was learned;
 a text none of whose n-grams is known gets the commonest language, with score 0; rows with a null or empty language
@@ -50,31 +51,59 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(texts: list) -> Iterator[tuple[int, str]]:
-    for k, text in enumerate(texts):
-        for at in range(0, len(text or ""), PIECE):
-            yield k, text[at : at + PIECE]
+def normalised(text: str) -> Iterator[np.ndarray]:
+    """The code points of a text's letters and blanks, in parts."""
+    lowered, blank = f" {text.lower()} ", False
+    for at in range(0, len(lowered), PIECE):
+        points = np.frombuffer(lowered[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.where(_is_letter()[points], points, 32)
+        space = points == 32
+        keep = ~(space & np.concatenate([[blank], space[:-1]]))
+        blank = bool(space[-1])
+        yield points[keep].astype(np.uint64)
 
 
-def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each size: 64-bit codes of all n-grams of the texts, and the number of the text each is from."""
-    lowered = [f" {t.lower()} " for t in texts]
-    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in lowered])
-    points = np.where(_is_letter()[points], points, 32)
-    blank = points == 32
-    keep = np.ones(len(points), bool)
-    keep[1:] = ~(blank[1:] & blank[:-1] & (owner[1:] == owner[:-1]))
-    points, owner = points[keep].astype(np.uint64), owner[keep]
+def _codes(points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size: 64-bit codes of all n-grams of the points."""
     code = points
     for n in range(2, max(SIZES) + 1):
-        code = _mixed(code[: len(points) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :]) if n > 2 else points[:-1] * np.uint64(1 << 21) + points[1:]
+        if n == 2:
+            code = points[:-1] * np.uint64(1 << 21) + points[1:]
+        else:
+            code = _mixed(code[: max(0, len(points) - n + 1)] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :])
         if n in SIZES:
+            yield n, code
+
+
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """64-bit codes of all n-grams of the texts, some at a time, and the number of the text each is from."""
+    held, owners, size = [], [], 0
+
+    def cut() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        points, owner = np.concatenate(held), np.concatenate(owners)
+        for n, code in _codes(points):
             within = owner[: len(code)] == owner[n - 1 :]
-            if n == 2:
-                within &= (points[:-1] != 32) | (points[1:] != 32)
             yield code[within], owner[: len(code)][within]
 
+    for k, text in enumerate(texts):
+        tail = np.zeros(0, np.uint64)
+        for points in normalised(text):
+            if not len(tail) and len(text) + 2 <= PIECE:  # a whole text: several are taken at a time
+                held.append(points)
+                owners.append(np.full(len(points), k, np.int32))
+                size += len(points)
+                if size > PIECE:
+                    yield from cut()
+                    held, owners, size = [], [], 0
+                continue
+            joined = np.concatenate([tail, points])
+            for n, code in _codes(joined):
+                new = code[max(0, len(tail) - n + 1) :]
+                yield new, np.full(len(new), k, np.int32)
+            tail = joined[max(0, len(joined) - max(SIZES) + 1) :]
+    if held:
+        yield from cut()
+
 
 def slots_of(codes: np.ndarray, bits: int) -> list[np.ndarray]:
     """The HASHES slots of each code, by double hashing."""
@@ -128,10 +157,9 @@ def count_grams(labelled: DataFrame) -> DataFrame:
 
         for batch in batches:
             for lang, rows in batch.groupby("lang"):
-                for some in _groups([p for _, p in pieces(list(rows["text"]))]):
-                    for codes, _ in grams(some):
-                        held.setdefault(lang, []).append(np.unique(codes, return_counts=True))
-                        size[lang] = size.get(lang, 0) + len(held[lang][-1][0])
+                for codes, _ in grams(list(rows["text"])):
+                    held.setdefault(lang, []).append(np.unique(codes, return_counts=True))
+                    size[lang] = size.get(lang, 0) + len(held[lang][-1][0])
                     if size[lang] > 2_000_000:
                         yield packed(lang)
         for lang in list(held):
@@ -141,18 +169,6 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("code", "lang").agg(F.sum("n").alias("n"))
 
 
-def _groups(texts: list[str], chars: int = PIECE) -> Iterator[list[str]]:
-    held, size = [], 0
-    for t in texts:
-        if held and size + len(t) > chars:
-            yield held
-            held, size = [], 0
-        held.append(t)
-        size += len(t)
-    if held:
-        yield held
-
-
 def train(labelled: DataFrame, bits: int = SLOT_BITS) -> Filter:
     """Learns from (text, lang) rows; the driver gets the languages and at most ``2 ** bits`` slots."""
     labelled = labelled.where(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
@@ -193,16 +209,11 @@ def identify(documents: DataFrame, model: Filter, text: str = "text") -> DataFra
         for texts in batches:
             texts = list(texts)
             lettered = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
-            total, hits = np.zeros(len(texts)), np.zeros((len(texts), len(model.languages)))
-            numbered = list(pieces(texts)) if model.languages else []
-            at = 0
-            for some in _groups([p for _, p in numbered]):
-                t, h = model.counts(some)
-                who = np.array([k for k, _ in numbered[at : at + len(some)]])
-                np.add.at(total, who, t)
-                np.add.at(hits, who, h)
-                at += len(some)
-            names, score = model.decide(total, hits) if model.languages else (np.full(len(texts), "und", object), np.zeros(len(texts)))
+            if model.languages:
+                names, score = model.decide(*model.counts([t or "" for t in texts]))
+            else:
+                names, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             yield pd.DataFrame({"lang_pred": np.where(lettered, names, "und"), "score": np.where(lettered, score, 0.0)})
 
-    return documents.withColumn("_li", predicted(F.col(text))).withColumn("lang_pred", F.col("_li.lang_pred")).withColumn("score", F.col("_li.score")).drop("_li")
+    kept = [F.col(f"`{c}`") for c in documents.columns if c not in ("lang_pred", "score")]
+    return documents.select(*kept, predicted(F.col(text)).alias("lang_pred")).select(*kept, "lang_pred.*")
