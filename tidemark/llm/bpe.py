@@ -2,8 +2,9 @@
 
 The tokenizers library encodes a text piece by piece: special strings first, then pre-tokens, then merges inside
 each. So ids and counts of a text follow from those of its distinct pieces, which are kept for each Python worker.
-Texts whose characters are all in ``PLAIN`` are split with the pattern below, which agrees there with the library's;
-all other texts go to the library whole.
+Parts whose characters are all known to ``PATTERN`` are split with it, as it agrees there with the library's
+pre-tokenizer; all other parts are split by that pre-tokenizer itself, long ones between words. What is done with the
+pieces is the same. Only files whose pre-tokenizer is no byte-level one are left to the library whole.
 """
 
 from __future__ import annotations
@@ -23,6 +24,12 @@ LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-я一-龥ぁ-ゖァ-ヺ가-
 SIGNS = "!-/:-@\\[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-‧‰-⁞€"
 PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[{SIGNS}]+|[ \\t\\n\\r]+(?![^ \\t\\n\\r])|[ \\t\\n\\r]+")
 NOT_PLAIN = re.compile(f"[^{LETTERS}{SIGNS}0-9 \\t\\n\\r]")
+#: The white space of the library's patterns.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Where a long text may be cut without cutting a piece: before a blank with other characters at both sides.
+BETWEEN = re.compile(f"(?<=[^{WHITE}\x1c-\x1f]) (?=[^{WHITE}\x1c-\x1f])")
+#: Characters that the library's pre-tokenizer gets at a time, about.
+LENGTH = 100_000
 #: Pieces kept for each worker; the store is emptied when it is full.
 KEPT = 400_000
 #: Pieces of a long text that are held at a time.
@@ -44,12 +51,14 @@ class Pieces:
         added = self.whole.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
         plain = all(not (t.single_word or t.lstrip or t.rstrip) for t in added.values())
-        self.splits = plain and self.whole.normalizer is None and isinstance(self.whole.pre_tokenizer, pre_tokenizers.ByteLevel)
+        split = self.whole.pre_tokenizer
+        self.splits = plain and self.whole.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel) and not split.add_prefix_space
         marks = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
         self.width, self.code = ("<u2", "H") if self.whole.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.ids: dict[str, bytes] = {}
         self.counts: dict[str, tuple[int, ...]] = {}
+        self.totals: dict[str, int] = {}
         self.model, self.vocabulary = self.whole.model, set(self.whole.get_vocab(with_added_tokens=False))
         self.longest = max(map(len, self.vocabulary), default=1)
         self.letters = {chr(b): c for b, c in byte_letters().items()}
@@ -65,18 +74,26 @@ class Pieces:
             if part:
                 yield k % 2 == 1, part
 
-    def plain(self, text: str) -> bool:
-        return self.splits and NOT_PLAIN.search(text) is None
-
-    @staticmethod
-    def pieces(part: str):
+    def pieces(self, part: str):
         """Lists of the part's pieces, in order."""
-        if len(part) <= 4 * STRIDE:
+        if NOT_PLAIN.search(part) is not None:
+            for some in self._between(part):
+                yield [some[a:b] for _, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(some)]
+        elif len(part) <= 4 * STRIDE:
             yield PATTERN.findall(part)
-            return
-        found = PATTERN.finditer(part)
-        while some := [m.group() for m in islice(found, STRIDE)]:
-            yield some
+        else:
+            found = PATTERN.finditer(part)
+            while some := [m.group() for m in islice(found, STRIDE)]:
+                yield some
+
+    @staticmethod
+    def _between(part: str):
+        """The part in lengths of about ``LENGTH`` that end between words."""
+        at = 0
+        while len(part) - at > LENGTH and (cut := BETWEEN.search(part, at + LENGTH)):
+            yield part[at : cut.start()]
+            at = cut.start()
+        yield part[at:]
 
     # ids
 
@@ -91,7 +108,7 @@ class Pieces:
 
     def encode(self, text: str) -> bytes:
         """All ids of a text as little-endian numbers of ``width``."""
-        if not self.plain(text):
+        if not self.splits:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
         out = []
         for special, part in self.parts(text):
@@ -158,7 +175,7 @@ class Pieces:
         A prefix that ends in white space has the whole run of it as its last piece, and one that ends inside a
         special string has that beginning as ordinary text; elsewhere pieces of prefixes are those of the text.
         """
-        if not self.plain(text):
+        if not self.splits:
             return np.array([len(self.whole.encode(text[:p], add_special_tokens=False).ids) for p in range(len(text) + 1)], dtype=np.int32)
         out, base = [0], 0
         run, run_base = "", 0  # the white space that the text so far ends in, and the count before it
@@ -173,7 +190,7 @@ class Pieces:
                 continue
             for piece in chain.from_iterable(self.pieces(part)):
                 counts = self.prefix_counts(piece)
-                if piece.isspace():
+                if not piece.strip(WHITE):
                     run_base = run_base if run else base
                     out += [run_base + c for c in self.prefix_counts(run + piece)[len(run) + 1 :]]
                     run += piece
@@ -189,17 +206,21 @@ class Pieces:
 
     def count(self, text: str) -> int:
         """The last entry of ``table_of``, summed over the pieces' tables without spelling them out."""
-        if not self.plain(text):
+        if not self.splits:
             return len(self.whole.encode(text, add_special_tokens=False).ids)
-        total, known = 0, self.counts
+        total, known = 0, self.totals
         for special, part in self.parts(text):
             if special:
                 total += 1
                 continue
             for some in self.pieces(part):
-                for piece in some:
-                    found = known.get(piece)
-                    total += (self.prefix_counts(piece) if found is None else found)[-1]
+                try:
+                    total += sum(map(known.__getitem__, some))
+                except KeyError:
+                    if len(known) + len(some) > KEPT:
+                        known.clear()
+                    known.update((p, self.prefix_counts(p)[-1]) for p in set(some) if p not in known)
+                    total += sum(map(known.__getitem__, some))
         return total
 
 

@@ -3,14 +3,17 @@
 Documents in ascending order of id are encoded, an end id follows each, and runs of whole documents become chunks.
 A chunk's ids are cut into blocks of a fixed number of ids; each block is transposed into byte planes (all low
 bytes, then all next bytes) or bit planes (all lowest bits, and so on), each plane is compressed with zstandard,
-and the chunk index keeps the planes' lengths, the documents' ids and lengths and the place of the chunk's first id.
+and the chunk index keeps the planes' lengths, the documents' ids and lengths, the place of the chunk's first id, the
+block size, the kind of planes and the end id: a set describes itself.
 
 A token set is a folder of two Parquet tables: ``chunks`` (one row for each chunk, its planes as one binary value)
 and ``index`` (one row for each chunk, without the planes). Chunks hold whole documents, so any of them can be read
 alone. A document of more ids than a chunk has one to itself.
 
-Defined results: a null text has the end id only; rows of one doc_id stay apart, in order of their texts; a null
-doc_id comes first; an empty table makes a set without chunks. Other columns are not stored.
+Rows are range-partitioned by id and a hash of the text, so rows that share an id are dealt over several tasks.
+
+Defined results: a null text has the end id only; rows of one doc_id stay apart, in order of a hash of their texts, then
+of the texts; a null doc_id comes first; an empty table makes a set without chunks. Other columns are not stored.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import pieces_of
-from .common import fresh_path
+from .common import fresh_path, sent_if_small
 
-CHUNKS = "part int, chunk int, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, width int, planes array<int>, body binary"
+CHUNKS = "part int, chunk int, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, width int, block int, bits boolean, end_id int, planes array<int>, body binary"
 
 
 @dataclass(frozen=True)
@@ -56,7 +59,7 @@ def to_planes(ids: np.ndarray, form: Format) -> tuple[list[int], bytes]:
 
 
 def from_planes(sizes: list[int], body: bytes, n: int, width: int, form: Format) -> np.ndarray:
-    """The ids of a chunk."""
+    """The ids of a chunk; of the form its block and bits count."""
     plain, at, k, out = zstandard.ZstdDecompressor(), 0, 0, []
     per = 8 * width if form.bits else width
     for start in range(0, n, form.block):
@@ -76,7 +79,8 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encodes (doc_id, text) rows and writes them as the token set ``path``."""
     spark = documents.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = documents.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    place = ["doc_id", F.xxhash64("text")]
+    ordered = documents.select("doc_id", "text").repartitionByRange(parts, *place).sortWithinPartitions(*place, "text")
     ordered = ordered.withColumn("part", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +91,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
         def packed(part: int) -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), dtype=pieces.width)
             sizes, body = to_planes(ids, form)
-            rows = {"part": part, "chunk": chunk, "doc_ids": list(docs), "lengths": list(lengths), "n_ids": len(ids), "width": ids.itemsize, "planes": sizes, "body": body}
+            rows = {"part": part, "chunk": chunk, "doc_ids": list(docs), "lengths": list(lengths), "n_ids": len(ids), "width": ids.itemsize, "block": form.block, "bits": form.bits, "end_id": end_id, "planes": sizes, "body": body}
             return pa.RecordBatch.from_pylist([rows], schema=SCHEMA)
 
         part = 0
@@ -119,20 +123,21 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
 
 SCHEMA = pa.schema([
     ("part", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
-    ("n_ids", pa.int64()), ("width", pa.int32()), ("planes", pa.list_(pa.int32())), ("body", pa.binary()),
+    ("n_ids", pa.int64()), ("width", pa.int32()), ("block", pa.int32()), ("bits", pa.bool_()), ("end_id", pa.int32()), ("planes", pa.list_(pa.int32())), ("body", pa.binary()),
 ])
 
 
-def read_tokens(spark: SparkSession, path: str, form: Format = Format(), with_ids: bool = True) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of a token set's documents; start counts ids before the document."""
-    index = spark.read.parquet(f"{path}/index").select("part", "chunk", "first_id")
-    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").join(F.broadcast(index) if index.count() < 100_000 else index, ["part", "chunk"])
+    index = sent_if_small(spark.read.parquet(f"{path}/index").select("part", "chunk", "first_id"))
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").join(index, ["part", "chunk"])
     kind = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+                form = Format(block=row["block"], bits=row["bits"])
                 ids = from_planes(row["planes"], row["body"], row["n_ids"], row["width"], form).astype("<u4")
                 ends = np.cumsum(row["lengths"])
                 starts = ends - row["lengths"]
@@ -147,7 +152,7 @@ def read_tokens(spark: SparkSession, path: str, form: Format = Format(), with_id
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return chunks.select("doc_ids", "lengths", "n_ids", "width", "planes", "body", "first_id").mapInArrow(decode, kind)
+    return chunks.select("doc_ids", "lengths", "n_ids", "width", "block", "bits", "planes", "body", "first_id").mapInArrow(decode, kind)
 
 
 def new_token_set(spark: SparkSession) -> str:
