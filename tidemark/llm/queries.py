@@ -23,7 +23,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk_search.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return topk_search.top_k(vectors, vectors.where(topk_search.divisible(F.col("id"))), k=10)
+    return topk_search.top_k(vectors, vectors.where(topk_search.divisible(F.col("id"))), k=10).drop("query")
 
 
 OP2_SQL = """
