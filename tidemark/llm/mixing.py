@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_total, settled, word_count
+from .common import running_total, settled, text_key, word_count
 
 #: Binary digits behind the point of expected copies and offsets: sums of 2**38 documents fit a long.
 POINT = 24
@@ -80,11 +80,22 @@ def mix(documents: DataFrame, seed: int = 0, **shares) -> DataFrame:
 
 
 def mixed_documents(documents: DataFrame, seed: int = 0, **shares) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; the columns stay as they are."""
+    """The documents themselves, each as often as the mix takes it; the columns stay as they are.
+
+    The mix is drawn on narrow rows. Documents meet its result by id, source and a key of the text, so whole texts are
+    shuffled once; rows alike in all three share their copies evenly.
+    """
     kept = documents.columns
-    clash = {c for c in kept if c.startswith("_mx_") or c in ("size", "source_size", "target", "copies")}
-    inner = documents.select(*[F.col(c).alias(f"_keep_{c}") if c in clash else F.col(c) for c in kept]).withColumn("size", word_count(F.col("text")))
-    narrow = settled(inner.select("doc_id", "source", "size"))
-    taken = copies_to_take(inner, source_targets(narrow, **shares), seed)
-    spread = taken.where(F.col("copies") > 0).withColumn("_mx_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return spread.select(*[F.col(f"_keep_{c}").alias(c) if c in clash else F.col(c) for c in kept])
+    source, key = documents["source"], text_key(documents["text"])
+    narrow = settled(documents.select("doc_id", "source", word_count(documents["text"]).alias("size"), key.alias("key")))
+    drawn = copies_to_take(narrow, source_targets(narrow, **shares), seed)
+    taken = drawn.groupBy("doc_id", "source", "key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where(F.col("copies") > 0)
+    taken = taken.select(F.col("doc_id").alias("_mx_id"), F.col("source").alias("_mx_source"), F.col("key").alias("_mx_key"), F.col("copies").alias("_mx_copies"), F.col("rows").alias("_mx_rows"))
+    on = F.col("_mx_id").eqNullSafe(documents["doc_id"]) & F.col("_mx_source").eqNullSafe(source) & F.col("_mx_key").eqNullSafe(key)
+    met = documents.join(taken, on)
+    alike = Window.partitionBy("_mx_id", "_mx_source", "_mx_key").orderBy(F.lit(1))
+    once = met.where("_mx_rows = 1").withColumn("_mx_n", F.col("_mx_copies"))
+    more = met.where("_mx_rows > 1").withColumn("_mx_at", F.row_number().over(alike))
+    more = more.withColumn("_mx_n", F.floor(F.col("_mx_copies") / F.col("_mx_rows")) + (F.col("_mx_at") <= F.col("_mx_copies") % F.col("_mx_rows")).cast("int")).drop("_mx_at")
+    each = lambda rows: rows.where("_mx_n > 0").withColumn("_mx_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mx_n").cast("int")))).select(*kept)
+    return each(once).unionByName(each(more))
