@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Names of weekdays and months, folded, in English and Spanish; French and German for our texts.
 WEEKDAYS = {
     "monday": 1, "mon": 1, "lunes": 1, "lun": 1, "lundi": 1, "montag": 1,
-    "tuesday": 2, "tue": 2, "tues": 2, "martes": 2, "mardi": 2, "dienstag": 2,
+    "tuesday": 2, "tue": 2, "tues": 2, "martes": 2, "mar": 2, "mardi": 2, "dienstag": 2,
     "wednesday": 3, "wed": 3, "weds": 3, "miercoles": 3, "mie": 3, "mercredi": 3, "mittwoch": 3,
     "thursday": 4, "thu": 4, "thur": 4, "thurs": 4, "jueves": 4, "jue": 4, "jeudi": 4, "donnerstag": 4,
     "friday": 5, "fri": 5, "viernes": 5, "vie": 5, "vendredi": 5, "freitag": 5,
@@ -42,7 +42,7 @@ _marks = str.maketrans("áàâäãåéèêëíìîïóòôöõúùûüñçýÿ",
 _week = "|".join(sorted(WEEKDAYS, key=len, reverse=True))
 _month = "|".join(sorted(MONTHS, key=len, reverse=True))
 _rules = {
-    "next": re.compile(rf"\b(?:next|proximo) ({_week})\b|\b({_week}) que viene\b"),
+    "next": re.compile(rf"\b(?:next|proximo|proxima) ({_week})\b|\b({_week}) que viene\b"),
     "end": re.compile(r"\bend of (?:the )?week\b|\bfin de (?:la )?semana\b"),
     "days": re.compile(r"\b(?:in|en) (\d{1,3}) (?:days?|dias?)\b"),
     "today": re.compile(r"\b(?:today|hoy)\b"),
@@ -52,9 +52,9 @@ _rules = {
 _clock = re.compile(r"\b(\d{1,2})(?::(\d{2})(?::\d{2})?|h(\d{2}))\s?([ap])?\.?(?:m\b\.?)?|\b(\d{1,2})\s?([ap])\.?m\b\.?")
 _iso = re.compile(r"\b(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})\b")
 _numeric = re.compile(r"\b(\d{1,2})[-/.](\d{1,2})(?:[-/.](\d{4}|\d{2}))?\b")
-_day_first = re.compile(rf"\b(\d{{1,2}}) (?:de )?({_month})\b\.?(?: (?:de )?(\d{{4}}))?")
-_month_first = re.compile(rf"\b({_month})\b\.? (\d{{1,2}})\b(?:,? (\d{{4}}))?")
-_weekday = re.compile(rf"\b({_week})\b\.?(?: (\d{{1,2}})\b(?![:/.\d]))?")
+_day_first = re.compile(rf"\b(\d{{1,2}})(?:st|nd|rd|th|o)? ?(?:de |of )?({_month})\b\.?(?:,? (?:de )?(\d{{4}}))?")
+_month_first = re.compile(rf"\b({_month})\b\.? (\d{{1,2}})(?:st|nd|rd|th)?\b(?:,? (\d{{4}}))?")
+_weekday = re.compile(rf"\b({_week})\b\.?(?:,? (?:(?:el|the|on) )?(\d{{1,2}})(?:st|nd|rd|th)?\b(?! ?[-:/\d]))?")
 
 
 def parse_text(text: str | None, order: str = "dmy") -> dict | None:
@@ -113,11 +113,11 @@ def _read_named(rest: str):
 
 def _read_numeric(rest: str, order: str):
     for m in _numeric.finditer(rest):
-        a, b = int(m[1]), int(m[2])
-        sure = "dmy" if a > 12 else "mdy" if b > 12 else None
-        day, month = (b, a) if (sure or order) == "mdy" else (a, b)
-        if 1 <= month <= 12 and 1 <= day <= 31:
-            year = int(m[3]) + 2000 * (len(m[3]) == 2) if m[3] else None
+        a, b, c = int(m[1]), int(m[2]), int(m[3]) if m[3] else None
+        sure = "dmy" if a > 12 >= b else "mdy" if b > 12 >= a else None
+        day, month, year = {"dmy": (a, b, c), "mdy": (b, a, c), "ymd": (c, b, a)}[sure or order]
+        if day is not None and 1 <= month <= 12 and 1 <= day <= 31:
+            year = year + 2000 * (year < 100) if year is not None else None
             return m, {"day": day, "month": month, "order_assumed": sure is None} | ({"year": year} if year else {})
 
 
@@ -141,6 +141,43 @@ def parse(rows: DataFrame, text: str = "text", order: str = "dmy") -> DataFrame:
     return rows.withColumn("parsed", parsed(F.col(text))).withColumn("parsed", F.when(F.coalesce(*[F.col(f"parsed.{n}").cast("string") for n in names]).isNotNull(), F.col("parsed")))
 
 
+def safe_date(year: Column, month: Column, day: Column) -> Column:
+    """The date; null if there is no such day."""
+    return F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int")).try_cast("date")
+
+
+def month_index(month: Column, shift: Column) -> Column:
+    """The first day of the month ``shift`` months from the month of a date."""
+    return F.add_months(F.trunc(month, "month"), shift)
+
+
+def month_title(text: Column) -> Column:
+    """(month, year) of a line that only names a month, with or without a year; null otherwise.
+
+    Six words at most, all of them months, years or "de", "del", "of"; without a year one word has to be a whole name.
+    """
+    from .text import fold
+
+    months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    words = F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    month = lambda w: F.try_element_at(months, w)
+    is_year = lambda w: w.rlike("^(19[9][0-9]|20[0-9]{2}|2100)$")
+    fits = F.forall(words, lambda w: month(w).isNotNull() | is_year(w) | w.isin("de", "del", "of"))
+    found, year = F.get(F.filter(F.transform(words, month), lambda m: m.isNotNull()), 0), F.get(F.filter(words, is_year), 0).cast("int")
+    whole = year.isNotNull() | F.exists(words, lambda w: (F.length(w) >= 5) | w.isin("june", "july", "mayo"))
+    return F.when(F.size(words).between(1, 6) & fits & found.isNotNull() & whole, F.struct(found.alias("month"), year.alias("year")))
+
+
+def months_disagree(months: Column) -> Column:
+    """Whether two of an array of (month, year) cannot belong to one view: over a month apart, counted round the year where a year is missing."""
+    def apart(a: Column, b: Column) -> Column:
+        gap = F.abs(a["month"] - b["month"])
+        known = F.abs((a["year"] * 12 + a["month"]) - (b["year"] * 12 + b["month"]))
+        return F.coalesce(known, F.least(gap, 12 - gap)) > 1
+
+    return F.exists(months, lambda a: F.exists(months, lambda b: apart(a, b)))
+
+
 def next_weekday(today: Column, weekday: Column) -> Column:
     """The next such weekday after today, 1 to 7 days ahead."""
     ahead = F.pmod(weekday - (F.weekday(today) + 1) - 1, F.lit(7)) + 1
@@ -159,9 +196,9 @@ def weekday_ahead(today: Column, weekday: Column) -> Column:
 
 def nearest_year(month: Column, day: Column, today: Column) -> Column:
     """The date of that month and day closest to today, in this year or a neighbouring one."""
-    years = F.array(*[F.make_date(F.year(today) + k, month, F.least(day, F.lit(28))) for k in (-1, 0, 1)])
+    years = F.array(*[safe_date(F.year(today) + k, month, F.least(day, F.lit(28))) for k in (-1, 0, 1)])
     ranked = F.array_sort(F.transform(years, lambda d: F.struct(F.abs(F.date_diff(d, today)).alias("gap"), F.year(d).alias("year"))))
-    return F.make_date(ranked[0]["year"], month, day)
+    return safe_date(ranked[0]["year"], month, day)
 
 
 def resolve(parsed: Column, today: Column) -> Column:
@@ -170,7 +207,7 @@ def resolve(parsed: Column, today: Column) -> Column:
     return (
         F.when(p["rel"] == "today", today).when(p["rel"] == "tomorrow", F.date_add(today, 1)).when(p["rel"] == "yesterday", F.date_add(today, -1))
         .when(p["rel"] == "days", F.date_add(today, p["rel_n"])).when(p["rel"] == "next", next_weekday(today, p["rel_n"])).when(p["rel"] == "end", end_of_week(today))
-        .when(p["year"].isNotNull(), F.try_make_date(p["year"], p["month"], p["day"]) if hasattr(F, "try_make_date") else F.make_date(p["year"], p["month"], p["day"]))
+        .when(p["year"].isNotNull(), safe_date(p["year"], p["month"], p["day"]))
         .when(p["month"].isNotNull(), nearest_year(p["month"], p["day"], today))
         .when(p["weekday"].isNotNull(), weekday_ahead(today, p["weekday"])).when(p["hour"].isNotNull(), today)
     )

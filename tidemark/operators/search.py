@@ -101,3 +101,75 @@ def excerpt(text: Column, word: str, length: int = 140) -> Column:
     at = F.locate(word, F.lower(text))
     start = F.greatest(F.lit(1), at - length // 3)
     return F.when(at > 0, text.substr(start, F.lit(length))).otherwise(F.substring(text, 1, length))
+
+
+# Documents, filters and marks
+
+#: Which kinds of items each choice of kind stands for.
+KIND_MAP = {"appointments": ("appointment",), "tasks": ("task", "deadline"), "reminders": ("reminder",)}
+
+
+def item_documents(items: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(item, title, aliases, notes, place, people) to search: items that are not merged, with their other spellings."""
+    other = aliases.join(items.select("item", F.col("title").alias("_t")), "item").where(F.col("spelling") != F.col("_t"))
+    joined = other.groupBy("item").agg(F.array_join(F.array_sort(F.collect_set("spelling")), " ").alias("aliases"))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    kept = items.where("status <> 'merged'").join(joined, "item", "left")
+    return kept.select("item", "title", blank(F.col("aliases")).alias("aliases"), blank(F.col("notes")).alias("notes"), blank(F.col("place")).alias("place"), blank(F.array_join("people", " ")).alias("people"))
+
+
+def capture_documents(lines: DataFrame) -> DataFrame:
+    """(image, text): a picture's lines in order, one below the other; pictures without text have none."""
+    met = lines.groupBy("image").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return met.where(F.col("text") != "")
+
+
+def kinds_of(chosen: tuple[str, ...]) -> tuple[bool, tuple[str, ...]]:
+    """Whether items are searched at all for the chosen kinds, and which kinds of items; captures are no items, nothing chosen is all."""
+    return not chosen or any(c in KIND_MAP for c in chosen), tuple(k for c in chosen for k in KIND_MAP.get(c, ()))
+
+
+def item_filter(chosen: tuple[str, ...] = (), context: str | None = "any", dates: tuple | None = None, dismissed: bool = False) -> Column:
+    """The condition of a search on items: kinds, context (``any``, null for none, or an id), dates of their moments, and state."""
+    out = F.col("status").isin("active", "dismissed") if dismissed else F.col("status") == "active"
+    items, kinds = kinds_of(chosen)
+    if not items:
+        return F.lit(False)
+    if kinds:
+        out = out & F.col("kind").isin(*kinds)
+    if context != "any":
+        out = out & F.col("context").eqNullSafe(F.lit(context))
+    if dates:
+        out = out & F.when(F.col("family") == "event", F.col("start")).otherwise(F.coalesce("due", "start")).between(*map(F.lit, dates))
+    return out
+
+
+def might_match(text: Column, words: tuple[str, ...]) -> Column:
+    """A cheap test before words are split: plain ASCII text that holds none of the words, if they are ASCII, cannot match."""
+    if not all(w.isascii() for w in words):
+        return F.lit(True)
+    found = F.lit(False)
+    for w in words:
+        found = found | F.lower(text).contains(w)
+    return text.rlike(r"[^\x00-\x7F]") | found
+
+
+def marks(text: Column, terms: Terms) -> Column:
+    """The words of a text that match: equal to a word of the query or of a phrase, or beginning with the last word; in order."""
+    last = terms.words[-1] if terms.prefix_last and terms.words else None
+    whole = {w for p in terms.phrases for w in p} | set(terms.words[:-1] if last else terms.words)
+    fits = lambda t: (t.isin(*whole) if whole else F.lit(False)) | (t.startswith(last) if last else F.lit(False))
+    return F.filter(tokens(text), fits)
+
+
+def viewer(lines: DataFrame, terms: Terms) -> DataFrame:
+    """(image, n, text, marks): all lines of pictures with their marks; lines without any have none."""
+    words = tuple(dict.fromkeys([*terms.words, *(w for p in terms.phrases for w in p)]))
+    return lines.withColumn("marks", F.when(might_match(F.col("text"), words), marks(F.col("text"), terms)).otherwise(F.array().cast("array<string>"))).select("image", "n", "text", "marks")
+
+
+def restricted(rows: DataFrame, hits: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """``rows`` that are among the best ``most`` of the (key, score) hits, with their ``place``, best first."""
+    best = hits.orderBy(F.col("score").desc(), key).limit(most).agg(F.collect_list(key).alias("_k"))  # at most ``most`` keys
+    placed = best.select(F.posexplode("_k").alias("place", key))
+    return rows.join(F.broadcast(placed), key).orderBy("place")

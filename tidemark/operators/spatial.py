@@ -112,3 +112,29 @@ def evidence_region(box: Column, width: int, height: int) -> Column:
     return F.struct(
         x.cast("long").alias("x"), y.cast("long").alias("y"), (F.least(F.lit(width), box["x"] + box["w"] + mx) - x).cast("long").alias("w"), (F.least(F.lit(height), box["y"] + box["h"] + my) - y).cast("long").alias("h")
     )
+
+
+def selected_windows(windows: DataFrame, most: int = 20) -> DataFrame:
+    """(image, window, stack, box): frames clipped to the picture (width, height), empty ones gone, the largest first, ties front to back."""
+    inside = windows.withColumn("box", clip(F.col("box"), F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("width").alias("w"), F.col("height").alias("h")))).where("box is not null")
+    largest = Window.partitionBy("image").orderBy((F.col("box.w") * F.col("box.h")).desc(), "stack", "window")
+    return inside.withColumn("_n", F.row_number().over(largest)).where(F.col("_n") <= most).select("image", "window", "stack", "box")
+
+
+def outline(frame: Column, display: Column) -> Column:
+    """The part of a frame on a display, in the display's own coordinates; null if it is not there."""
+    part = clip(frame, display)
+    return F.when(part.isNotNull(), F.struct((part["x"] - display["x"]).alias("x"), (part["y"] - display["y"]).alias("y"), part["w"].alias("w"), part["h"].alias("h")))
+
+
+def pixel_box(box: Column, width: Column, height: Column) -> Column:
+    """A box in fractions from the bottom left as whole pixels from the top left, rounded outward, inside the picture, not empty."""
+    tiny = 1e-6
+    within = lambda v, low, high: F.greatest(low, F.least(high.cast("double"), v))
+    zero = F.lit(0.0)
+    left = within(F.floor(box["x"] * width + tiny), zero, width)
+    right = within(F.ceil((box["x"] + box["w"]) * width - tiny), left, width)
+    top = within(F.floor((1 - (box["y"] + box["h"])) * height + tiny), zero, height)
+    bottom = within(F.ceil((1 - box["y"]) * height - tiny), top, height)
+    whole = lambda v: v.cast("long")
+    return F.struct(whole(left).alias("x"), whole(top).alias("y"), F.greatest(F.lit(1), whole(right - left)).alias("w"), F.greatest(F.lit(1), whole(bottom - top)).alias("h"))

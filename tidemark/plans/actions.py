@@ -88,11 +88,11 @@ def action_eligibility(spark, sf):
 
 @query("""
 WITH s AS (SELECT DISTINCT l_orderkey AS item, l_orderkey * 10 + l_linenumber AS sighting, l_linenumber > 2 AND l_orderkey % 3 = 0 AS chosen FROM lineitem)
-SELECT CASE WHEN chosen THEN -item ELSE item END AS item, count(*)::BIGINT AS sightings, item IN (SELECT item FROM s WHERE chosen) AS apart FROM s GROUP BY s.item, chosen""")
+SELECT CASE WHEN chosen THEN -item - 1 ELSE item END AS item, count(*)::BIGINT AS sightings, s.item IN (SELECT item FROM s WHERE chosen) AS apart FROM s GROUP BY s.item, chosen""")
 def split_items(spark, sf):
     """Sightings of items after some went to new ones, and which items are to be kept apart."""
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sighting"), "l_linenumber").distinct()
-    chosen = rows.where("l_linenumber > 2 AND item % 3 = 0").select("sighting", (-F.col("item")).alias("new_item"))
+    chosen = rows.where("l_linenumber > 2 AND item % 3 = 0").select("sighting", (-F.col("item") - 1).alias("new_item"))
     after, pairs = A.split(rows.select("item", "sighting"), chosen)
     apart = pairs.select(F.col("item_a").alias("item")).union(pairs.select("item_b")).withColumn("apart", F.lit(True))
     return after.groupBy("item").agg(F.count("*").alias("sightings")).join(apart, "item", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
@@ -132,10 +132,10 @@ def jobs_of(spark, sf):
     )
 
 
-@query(f"WITH {JOBS} SELECT min(not_before) FILTER (state = 'waiting' AND not_before > 700) AS at FROM jobs")
+@query(f"WITH {JOBS} SELECT min(not_before) FILTER (state = 'waiting' AND not_before > 700) AS wake FROM jobs")
 def next_wake_up(spark, sf):
     """When the queue has to look again."""
-    return J.next_wake(jobs_of(spark, sf), 700)
+    return J.next_wake(jobs_of(spark, sf), 700).withColumnRenamed("at", "wake")
 
 
 @query(f"WITH {JOBS} SELECT state, count(*)::BIGINT AS n, sum(attempts)::BIGINT AS attempts FROM (SELECT CASE WHEN state = 'running' THEN 'waiting' ELSE state END AS state, attempts FROM jobs) GROUP BY 1")
@@ -180,22 +180,22 @@ def library_reread(spark, sf):
 
 
 @query("""
-WITH g AS (SELECT user_id AS key, epoch_us(ts) AS at, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 86400000000 THEN 0 ELSE 1 END AS fresh FROM events),
-r AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY "at") AS run FROM g)
-SELECT key, max(at) + 86400000000 AS at, count(*)::BIGINT AS changes FROM r GROUP BY key, run""")
+WITH g AS (SELECT user_id AS key, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 86400000000 THEN 0 ELSE 1 END AS fresh FROM events),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY t) AS run FROM g)
+SELECT key, max(t) + 86400000000 AS run_at, count(*)::BIGINT AS changes FROM r GROUP BY key, run""")
 def debounce_trailing(spark, sf):
     """A run after each burst of changes has been quiet for a day."""
-    return J.trailing(table(spark, sf, "events").select(F.col("user_id").alias("key"), micros(F.col("ts")).alias("at")), 86_400_000_000)
+    return J.trailing(table(spark, sf, "events").select(F.col("user_id").alias("key"), micros(F.col("ts")).alias("at")), 86_400_000_000).withColumnRenamed("at", "run_at")
 
 
 @query("""
-WITH c AS (SELECT user_id % 50 AS key, event_id AS at, (event_id // 7 % 3)::BIGINT AS waiting, (event_id // 11 % 2)::BIGINT AS running FROM events),
-p AS (SELECT *, lag(waiting) OVER w AS a, lag(running) OVER w AS b FROM c WINDOW w AS (PARTITION BY key ORDER BY "at")) SELECT key, at, waiting, running FROM p WHERE a IS NULL OR a <> waiting OR b <> running""")
+WITH c AS (SELECT user_id % 50 AS key, event_id AS t, (event_id // 7 % 3)::BIGINT AS waiting, (event_id // 11 % 2)::BIGINT AS running FROM events),
+p AS (SELECT *, lag(waiting) OVER w AS a, lag(running) OVER w AS b FROM c WINDOW w AS (PARTITION BY key ORDER BY t)) SELECT key, t, waiting, running FROM p WHERE a IS NULL OR a <> waiting OR b <> running""")
 def queue_progress(spark, sf):
     """The states of a queue, each change once."""
     e = F.col("event_id")
     rows = table(spark, sf, "events").select((F.col("user_id") % 50).alias("key"), e.alias("at"), (F.floor(e / 7) % 3).alias("waiting"), (F.floor(e / 11) % 2).alias("running"))
-    return J.progress(rows)
+    return J.progress(rows).withColumnRenamed("at", "t")
 
 
 @query("SELECT doc_id, least(16384, greatest(3072, 20 * (length(text) - length(replace(text, chr(10), '')) + 1)) + CASE WHEN doc_id % 2 = 0 THEN 4096 ELSE 0 END)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL")
