@@ -25,7 +25,7 @@ def clip(a: Column, b: Column) -> Column:
     """The intersection, or null."""
     x, y = F.greatest(a["x"], b["x"]), F.greatest(a["y"], b["y"])
     w, h = F.least(a["x"] + a["w"], b["x"] + b["w"]) - x, F.least(a["y"] + a["h"], b["y"] + b["h"]) - y
-    return F.when((w > 0) & (h > 0), F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h")))
+    return F.when((w > 0) & (h > 0), F.named_struct(F.lit("x"), x, F.lit("y"), y, F.lit("w"), w, F.lit("h"), h))
 
 
 def frontmost(points: DataFrame, windows: DataFrame) -> DataFrame:
