@@ -359,7 +359,7 @@ def outline_segments(spark, sf):
     frame = box(e % 40 * 10 - 50, e % 30 * 10, F.lit(120), F.lit(80))
     each = F.explode(F.array(F.lit(0), F.lit(1))).alias("display")
     screen = F.from_json(F.format_string('{"x": %d, "y": 0, "w": 200, "h": 250}', F.col("display") * 200), "x long, y long, w long, h long")
-    rows = table(spark, sf, "events").select("event_id", frame.alias("frame"), each).withColumn("screen", screen)
+    rows = table(spark, sf, "events").select("event_id", each).withColumn("frame", frame).withColumn("screen", screen)
     out = rows.select("event_id", "display", G.outline(F.col("frame"), F.col("screen")).alias("b")).where("b is not null")
     return out.select("event_id", "display", *[F.col(f"b.{c}").cast("long").alias(c) for c in "xywh"])
 
