@@ -24,11 +24,14 @@ def greedy_match(want: DataFrame, got: DataFrame, least: float, most_gap: int) -
 
     Rows are (case, id, title, at). Best means similarity, then gap, then ids. In each round the pairs that are the
     best of both their sides are taken and their sides removed; what is left goes to the next round. The best pair
-    left is always taken, so the outcome is that of one sorted walk, without a case in one task.
+    left is always taken, so the outcome is that of one sorted walk, without a case in one task. Sides meet by bins of
+    their times, never by the case alone.
     """
-    a, b = want.alias("a"), got.alias("b")
     score, gap = evaluation_similarity(F.col("a.title"), F.col("b.title")), F.abs(F.col("a.at") - F.col("b.at"))
-    left = a.join(b, F.col("a.case") == F.col("b.case")).select(F.col("a.case").alias("case"), F.col("a.id").alias("want"), F.col("b.id").alias("got"), score.alias("score"), gap.alias("gap"))
+    width = max(1, most_gap)
+    near = F.explode(F.sequence(F.floor((F.col("at") - most_gap) / width), F.floor((F.col("at") + most_gap) / width)))
+    a, b = want.withColumn("_bin", near).alias("a"), got.withColumn("_bin", F.floor(F.col("at") / width)).alias("b")
+    left = a.join(b, (F.col("a.case") == F.col("b.case")) & (F.col("a._bin") == F.col("b._bin"))).select(F.col("a.case").alias("case"), F.col("a.id").alias("want"), F.col("b.id").alias("got"), score.alias("score"), gap.alias("gap"))
     left = left.where((F.col("score") >= least) & (F.col("gap") <= most_gap))
     order = [F.col("score").desc(), "gap", "want", "got"]
     taken = None

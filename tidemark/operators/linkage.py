@@ -47,15 +47,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms)
 
 
-def title_pairs(titles: DataFrame, block: list[str], prefix: int = 8) -> DataFrame:
-    """(a, b, score) of different titles in one block that agree in their first letters.
+def title_pairs(titles: DataFrame, block: list[str]) -> DataFrame:
+    """(a, b, score) of different titles in one block.
 
     Equal titles are one title here: rows are (name, title, *block), ``name`` the smallest id of a title, so a title
-    that many rows share meets the others once.
+    that many rows share meets the others once. A block should hold a day, so that it does not grow with the library.
     """
-    keyed = titles.groupBy(*block, "title").agg(F.min("name").alias("name")).withColumn("head", F.substring("title", 1, prefix))
+    keyed = titles.groupBy(*block, "title").agg(F.min("name").alias("name"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    on = (F.col("a.head") == F.col("b.head")) & (F.col("a.name") < F.col("b.name"))
+    on = F.col("a.name") < F.col("b.name")
     for k in block:
         on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     return a.join(b, on).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), title_similarity(F.col("a.title"), F.col("b.title")).alias("score"))

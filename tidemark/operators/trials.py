@@ -35,10 +35,15 @@ def sync_plan(items: DataFrame, links: DataFrame) -> DataFrame:
     return items.join(links, "item", "left").select("item", action.alias("action"))
 
 
-def compacted(runs: DataFrame) -> DataFrame:
-    """(run, changes): runs in time order, without those that changed nothing and are followed by another such.
+def compacted(runs: DataFrame, width: int = 86_400_000_000) -> DataFrame:
+    """(run, changes): (run, t, changes) rows in time order, without those that changed nothing and are followed by another such.
 
-    The log of runs is short by nature (a run every few minutes), so its order is a single window.
+    A run's follower is in its own stretch of ``width`` of time, or the first of the next stretch that has any; only
+    those firsts, one for each stretch, are ordered together.
     """
-    after = F.lead("changes").over(Window.orderBy("t", "run"))
-    return runs.withColumn("_next", after).where((F.col("changes") > 0) | F.col("_next").isNull() | (F.col("_next") > 0)).select("run", "changes")
+    cut = runs.withColumn("_bucket", F.floor(F.col("t") / width))
+    first = cut.groupBy("_bucket").agg(F.min_by("changes", F.struct("t", "run")).alias("_first"))
+    first = first.select("_bucket", F.lead("_first").over(Window.orderBy("_bucket")).alias("_later"))
+    after = F.coalesce(F.lead("changes").over(Window.partitionBy("_bucket").orderBy("t", "run")), "_later")
+    told = cut.join(F.broadcast(first), "_bucket").withColumn("_next", after)
+    return told.where((F.col("changes") > 0) | F.col("_next").isNull() | (F.col("_next") > 0)).select("run", "changes")

@@ -88,7 +88,7 @@ def size_sweep(spark, sf):
 
 @query()
 def greedy_matches(spark, sf):
-    """One-to-one matches of expected and found findings within a case, best first."""
-    rows = table(spark, sf, "conversations").select((F.col("conv_id")).alias("case"), F.col("turn").alias("id"), compact(F.substring("text", 1, 30)).alias("title"), F.col("turn").alias("at"))
+    """One-to-one matches of expected and found findings within a case, best first; a test compares it with a plain walk."""
+    rows = table(spark, sf, "conversations").select((F.col("conv_id")).alias("case"), F.col("turn").alias("id"), compact(F.coalesce("text", F.lit(""))).alias("title"), F.col("turn").alias("at"))
     want, got = rows.where("turn % 2 = 0"), rows.where("turn % 2 = 1")
     return greedy_match(want, got, least=0.2, most_gap=5)

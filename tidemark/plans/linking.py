@@ -15,29 +15,35 @@ from .texts import FIRST_LINE, NORMALISE, first_line
 SIMILARITY = """CASE WHEN x.title = '' OR y.title = '' THEN 0.0 WHEN length(x.title) >= 8 AND starts_with(y.title, x.title) OR length(y.title) >= 8 AND starts_with(x.title, y.title) THEN 0.95
  ELSE greatest(1 - levenshtein(x.title, y.title)::DOUBLE / greatest(length(x.title), length(y.title)),
  2.0 * len(list_intersect(string_split(x.title, ' '), string_split(y.title, ' '))) / (len(list_distinct(string_split(x.title, ' '))) + len(list_distinct(string_split(y.title, ' '))))) END"""
-TITLES = f"(SELECT lang, title, min(doc_id) AS name FROM (SELECT doc_id, lang, {NORMALISE.format(FIRST_LINE)} AS title FROM documents) WHERE regexp_full_match(title, '[a-z0-9 ]+') GROUP BY 1, 2)"
+#: DuckDB compares bytes: letters of several bytes that folding leaves are written as one sign each.
+ONE_BYTE = "translate({0}, 'ßœæøłđ', '~^@#$&')"
+TITLES = f"(SELECT lang, source, day, title, min(doc_id) AS name FROM (SELECT doc_id, lang, source, doc_id // 200 AS day, {ONE_BYTE.format(NORMALISE.format(FIRST_LINE))} AS title FROM documents) GROUP BY 1, 2, 3, 4)"
 
 
 @query(f"""
-WITH t AS {TITLES}, p AS (SELECT x.name AS a, y.name AS b, ({SIMILARITY})::DOUBLE AS s FROM t x JOIN t y ON x.lang IS NOT DISTINCT FROM y.lang AND left(x.title, 4) = left(y.title, 4) AND x.name < y.name)
+WITH t AS {TITLES}, p AS (SELECT x.name AS a, y.name AS b, ({SIMILARITY})::DOUBLE AS s FROM t x JOIN t y ON x.lang IS NOT DISTINCT FROM y.lang AND x.source IS NOT DISTINCT FROM y.source AND x.day = y.day AND x.name < y.name)
 SELECT a, b, round(s, 6) AS score, CASE WHEN s >= 0.9 THEN 'merge:undated-text' WHEN s < 0.7 THEN 'new:undated-low-text' ELSE 'uncertain:' END AS decision FROM p""")
 def title_pairs_scored(spark, sf):
-    """Blocking, title similarity and decision for titles without dates (those in plain letters)."""
-    titles = table(spark, sf, "documents").select(F.col("doc_id").alias("name"), "lang", normalise(first_line()).alias("title")).where(F.col("title").rlike("^[a-z0-9 ]+$"))
-    pairs = L.title_pairs(titles, ["lang"], prefix=4)
+    """Blocking by family, context and day, title similarity and decision for titles without dates.
+
+    Languages stand for families, sources for contexts, and 200 ids for a day; every document's first line is a title.
+    """
+    day = F.floor(F.col("doc_id") / 200).alias("day")
+    titles = table(spark, sf, "documents").select(F.col("doc_id").alias("name"), "lang", "source", day, normalise(first_line()).alias("title")).where("title is not null")
+    pairs = L.title_pairs(titles, ["lang", "source", "day"])
     return pairs.select("a", "b", F.round("score", 6).alias("score"), L.decide(F.col("score"), F.lit(1.0), F.lit(None).cast("double"), F.lit(True)).alias("decision"))
 
 
 @query("""
-WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
-c AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 5) AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND b.n <= 5)
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+c AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 5) AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 100 = 0)
 SELECT a, b, cosine FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS k FROM c) WHERE k <= 2""")
 def embed_cosine_topk(spark, sf):
-    """The two known titles nearest in meaning, among the first five of the event."""
+    """The two known titles of the same event nearest in meaning, for every title whose id 100 divides."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    known = e.groupBy("label").agg(F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), 1, 5).alias("known"))
-    pairs = e.join(F.broadcast(known), "label").select(F.col("vec_id").alias("a"), "embedding", F.explode("known").alias("k")).where(F.col("a") != F.col("k.vec_id"))
-    scored = pairs.select("a", F.col("k.vec_id").alias("b"), F.round(L.cosine(F.col("embedding"), F.col("k.embedding")), 5).alias("cosine"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("q"))
+    pairs = e.join(asked, "label").where("a <> vec_id")
+    scored = pairs.select("a", F.col("vec_id").alias("b"), F.round(L.cosine(F.col("q"), F.col("embedding")), 5).alias("cosine"))
     return scored.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b"))).where("r <= 2").select("a", "b", "cosine")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
+from ..operators.reading import loggable
 from ..sources.tables import table
 from .registry import query
 
@@ -33,13 +34,13 @@ def finding_confidence(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT DISTINCT lower(n_name) AS x FROM nation WHERE length(n_name) >= 4)
-SELECT doc_id FROM documents d WHERE len(string_split(left(text, 60), ' ')) <= 12 AND NOT EXISTS (SELECT 1 FROM s WHERE contains(lower(left(d.text, 60)), s.x))""")
+WITH s AS (SELECT DISTINCT lower(n_name) AS x FROM nation WHERE length(n_name) >= 4), l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INT AS n, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, n FROM l WHERE len(string_split(line, ' ')) <= 12 AND NOT EXISTS (SELECT 1 FROM s WHERE contains(lower(line), s.x))""")
 def log_sanitiser(spark, sf):
-    """Short lines that hold none of the sensitive strings (a fixed list of nation names here)."""
+    """Lines short enough to be logged that hold none of the sensitive strings (nation names here)."""
     bad = table(spark, sf, "nation").select(F.lower("n_name").alias("x")).where(F.length("x") >= 4).distinct()
-    lines = table(spark, sf, "documents").select("doc_id", F.lower(F.substring("text", 1, 60)).alias("line")).where(F.size(F.split(F.substring("text", 1, 60), " ")) <= 12)
-    return lines.join(F.broadcast(bad), F.col("line").contains(F.col("x")), "left_anti").select("doc_id")
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return loggable(lines.withColumn("n", F.col("n") + 1), "line", bad, "x").select("doc_id", "n")
 
 
 @query("""

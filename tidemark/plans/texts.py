@@ -10,11 +10,11 @@ from .registry import query
 
 FOLD = "translate(lower({0}), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy')"
 NORMALISE = "trim(regexp_replace(regexp_replace(" + FOLD.format("regexp_replace(trim({0}), '[….\\s]+$', '')") + ", '[''’`]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-FIRST_LINE = "left(split_part(text, chr(10), 1), 80)"
+FIRST_LINE = "split_part(text, chr(10), 1)"
 
 
 def first_line(text="text"):
-    return F.substring(F.split_part(F.col(text), F.lit("\n"), F.lit(1)), 1, 80)
+    return F.split_part(F.col(text), F.lit("\n"), F.lit(1))
 
 
 @query(f"SELECT doc_id, {NORMALISE.format(FIRST_LINE)} AS title FROM documents")
@@ -42,15 +42,15 @@ def line_split(spark, sf):
 WITH l AS (SELECT doc_id, n, line, length(line) * (40 + n % 7) AS area, count(*) OVER (PARTITION BY doc_id) AS c FROM
   (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY area DESC, n) AS k FROM l)
-SELECT doc_id, count(*)::BIGINT AS kept, max(c)::BIGINT AS lines, sum(n)::BIGINT AS places FROM r WHERE k <= 8 GROUP BY doc_id""")
+SELECT doc_id, count(*)::BIGINT AS kept, max(c)::BIGINT AS lines, sum(n)::BIGINT AS places FROM r WHERE k <= 600 GROUP BY doc_id""")
 def prompt_line_cap(spark, sf):
-    """The largest lines by area up to a cap, in their own order."""
+    """The largest lines by area up to the 600 that a prompt shows, in their own order."""
     from pyspark.sql import Window
 
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("n", F.col("n") + 1)
     lines = lines.withColumn("area", F.length("line") * (40 + F.col("n") % 7)).withColumn("c", F.count("*").over(Window.partitionBy("doc_id")))
     ranked = lines.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("area").desc(), "n")))
-    return ranked.where("k <= 8").groupBy("doc_id").agg(F.count("*").alias("kept"), F.max("c").alias("lines"), F.sum("n").alias("places"))
+    return ranked.where("k <= 600").groupBy("doc_id").agg(F.count("*").alias("kept"), F.max("c").alias("lines"), F.sum("n").alias("places"))
 
 
 @query("""
@@ -73,13 +73,13 @@ def tags_domain(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT doc_id, 'at ' || (doc_id % 24) || ':' || lpad((doc_id % 60)::VARCHAR, 2, '0') || CASE WHEN doc_id % 3 = 0 THEN ' pm' ELSE '' END || ' ' || left(text, 200) AS x FROM documents),
+WITH t AS (SELECT doc_id, 'at ' || (doc_id % 24) || ':' || lpad((doc_id % 60)::VARCHAR, 2, '0') || CASE WHEN doc_id % 3 = 0 THEN ' pm' ELSE '' END || ' ' || coalesce(text, '') AS x FROM documents),
 c AS (SELECT doc_id, len(regexp_extract_all(lower(x), '\\b[0-9]{1,2}(?::[0-9]{2})? ?[ap]m\\b')) AS twelve, len(list_filter(regexp_extract_all(x, '\\b([0-9]{1,2}):[0-9]{2}\\b', 1), lambda h: h::INT > 12)) AS day FROM t)
 SELECT doc_id, CASE WHEN twelve > day THEN '12h' WHEN day > twelve THEN '24h' ELSE 'unknown' END AS clock_style FROM c""")
 def tags_clock_style(spark, sf):
     """Majority between am/pm times and times past noon on a 24-hour clock."""
     d = F.col("doc_id")
-    said = F.concat(F.lit("at "), (d % 24).cast("string"), F.lit(":"), F.lpad((d % 60).cast("string"), 2, "0"), F.when(d % 3 == 0, " pm").otherwise(""), F.lit(" "), F.substring("text", 1, 200))
+    said = F.concat(F.lit("at "), (d % 24).cast("string"), F.lit(":"), F.lpad((d % 60).cast("string"), 2, "0"), F.when(d % 3 == 0, " pm").otherwise(""), F.lit(" "), F.coalesce("text", F.lit("")))
     rows = table(spark, sf, "documents").select("doc_id", said.alias("x"))
     twelve = F.size(F.regexp_extract_all(F.lower("x"), F.lit(r"(\b[0-9]{1,2}(?::[0-9]{2})? ?[ap]m\b)"), 1))
     day = F.size(F.filter(F.regexp_extract_all("x", F.lit(r"\b([0-9]{1,2}):[0-9]{2}\b"), 1), lambda h: h.cast("int") > 12))

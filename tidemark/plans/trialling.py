@@ -50,12 +50,12 @@ def sync_plan(spark, sf):
 
 
 @query("""
-WITH r AS (SELECT event_id AS run, epoch_us(ts) AS t, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS changes FROM events WHERE user_id % 10 = 0),
+WITH r AS (SELECT event_id AS run, epoch_us(ts) AS t, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS changes FROM events),
 g AS (SELECT *, lead(changes) OVER (ORDER BY t, run) AS next FROM r)
 SELECT run, changes::INT AS changes FROM g WHERE changes > 0 OR next IS NULL OR next > 0""")
 def sync_run_compaction(spark, sf):
     """Of neighbouring runs that changed nothing only the last is kept."""
-    rows = table(spark, sf, "events").where("user_id % 10 = 0").select(F.col("event_id").alias("run"), micros(F.col("ts")).alias("t"), F.when(F.col("event_type") == "click", 0).otherwise(1).alias("changes"))
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("run"), micros(F.col("ts")).alias("t"), F.when(F.col("event_type") == "click", 0).otherwise(1).alias("changes"))
     return T.compacted(rows)
 
 
