@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluation, linkage, resolve, search, spatial, trials
+from tidemark.operators import evaluation, linkage, reconcile, resolve, search, spatial, trials
 from tidemark.plans import relational
 from tidemark.sources import cases
 from tidemark.streaming import notices
@@ -24,7 +24,7 @@ def test_sequential_assignment(spark):
     rows = [(1, 0, 1, 10, "team sync", 0, False), (1, 0, 2, 11, "team sync", 600_000_000, False), (1, 0, 3, 12, "other", 0, False), (2, 0, 1, 13, "team sync", 0, False), (1, 0, 4, 14, "team sync with ana", 0, False)]
     df = spark.createDataFrame(rows, "context int, at long, seq int, finding long, title string, start long, all_day boolean")
     got = {r.finding: r.item for r in linkage.assign(df, ["context"]).collect()}
-    assert got == {10: 10, 11: 10, 12: 12, 13: 13, 14: 14} | {14: 10 if linkage._similarity("team sync", "team sync with ana") >= 0.9 else 14}
+    assert got == {10: 10, 11: 10, 12: 12, 13: 13, 14: 14} | {14: 10 if reconcile.similarity("team sync", "team sync with ana") >= 0.9 else 14}
 
 
 def test_pairwise_resolution(spark):

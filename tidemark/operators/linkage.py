@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,58 +59,17 @@ def title_pairs(titles: DataFrame, block: list[str]) -> DataFrame:
     return a.join(b, on).select(F.col("a.name").alias("a"), F.col("b.name").alias("b"), title_similarity(F.col("a.title"), F.col("b.title")).alias("score"))
 
 
-def _similarity(a: str, b: str) -> float:
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    short, long = sorted((a, b), key=len)
-    if len(short) >= 8 and long.startswith(short):
-        return 0.95
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    x, y = set(a.split(" ")), set(b.split(" "))
-    return max(1 - row[-1] / len(long), 2 * len(x & y) / (len(x) + len(y)))
-
-
 def assign(findings: DataFrame, block: list[str], t: Thresholds = Thresholds()) -> DataFrame:
-    """(finding, item) by assigning findings in order: each joins the best item of its block that it merges with.
+    """(finding, item) of events by ``reconcile``, each finding a picture of its own.
 
-    Rows are (*block, at, seq, finding, title, start, all_day), times in microseconds; titles are normalised. A
-    decision depends on the earlier ones of its block (a context's day), never on another block, so blocks stream
-    through the tasks sorted and only one block's items are held.
+    Rows are (*block, at, seq, finding, title, start, all_day), times in microseconds; titles are normalised.
     """
-    ordered = findings.repartition(*block).sortWithinPartitions(*block, "at", "seq")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, items = None, []
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in block)
-                if key != at:
-                    at, items = key, []
-                best = None
-                for item in items:
-                    gap = abs(item["start"] - row.start)
-                    time = 1.0 if item["all_day"] and row.all_day else 0.5 if item["all_day"] or row.all_day else 1.0 if gap < 1e6 else 0.6 if gap <= 900e6 else 0.0
-                    if time <= 0:
-                        continue
-                    text = max(_similarity(row.title, known) for known in item["titles"])
-                    if text >= t.text and time >= t.time:
-                        rank = (0.6 * text + 0.4 * time, item["seen"])
-                        best = max(best, (rank, id(item), item), key=lambda x: x[:2]) if best else (rank, id(item), item)
-                if best:
-                    item = best[2]
-                    item["titles"].add(row.title)
-                    item["seen"] = row.at
-                else:
-                    item = {"name": row.finding, "titles": {row.title}, "start": row.start, "all_day": row.all_day, "seen": row.at}
-                    items.append(item)
-                out.append((row.finding, item["name"]))
-            yield pd.DataFrame(out, columns=["finding", "item"])
-
-    return ordered.mapInPandas(run, "finding long, item long")
+    from .reconcile import reconciled
+
+    name = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x1e")) for k in block])
+    one = F.lit(None).cast("string")
+    rows = findings.select(
+        one.alias("library"), name.alias("context"), F.lit("event").alias("family"), F.lit("").alias("day"), F.lpad(F.col("seq").cast("string"), 20, "0").alias("image"), "at", F.lit(0).alias("n"), one.alias("window"),
+        "finding", "title", "start", F.lit(None).cast("long").alias("end"), "all_day", F.lit(False).alias("inferred"),
+    )
+    return reconciled(rows, t=t).select(F.col("finding").cast("long").alias("finding"), F.col("item").cast("long").alias("item"))
