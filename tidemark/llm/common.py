@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +51,18 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def dealt_by_size(spark: SparkSession, rows: int, each: int = 50_000) -> Iterator[int]:
+    """Within it, shuffles of a table of so many narrow rows go to no more partitions than these need; large tables as ever."""
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    few = max(1, min(int(usual), math.ceil(rows / each)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(few))
+    try:
+        yield few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 

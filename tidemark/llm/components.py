@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import dealt_by_size, settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,9 +22,11 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             return stars.select(F.col("u").alias("v"), F.col("v").alias("root"))
         before = state
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        with dealt_by_size(links.sparkSession, state[0]) as parts:
+            stars = stars.coalesce(parts)
+            both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            stars = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
