@@ -173,3 +173,78 @@ def restricted(rows: DataFrame, hits: DataFrame, key: str, most: int = 1000) ->
     best = hits.orderBy(F.col("score").desc(), key).limit(most).agg(F.collect_list(key).alias("_k"))  # at most ``most`` keys
     placed = best.select(F.posexplode("_k").alias("place", key))
     return rows.join(F.broadcast(placed), key).orderBy("place")
+
+
+# A stored index
+
+#: Folders of postings: a word's folder follows from its first two letters, so prefixes find theirs too.
+BUCKETS = 256
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(token, 1, 2)), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(docs: DataFrame, doc_id: str, fields: dict[str, tuple[str, float]], path: str) -> None:
+    """Stores the fields' (column, weight) words below ``path``: postings by folder, documents' sizes, and one row of totals.
+
+    Postings hold a word's places in one field of one document; a folder holds about one 256th of the words.
+    """
+    spark = docs.sparkSession
+    parts = F.array(*[F.struct(F.lit(w).cast("double").alias("weight"), F.lit(k).alias("field"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("words")) for k, (c, w) in enumerate(fields.values())])
+    each = docs.select(F.col(doc_id).alias("doc"), F.explode(parts).alias("p")).select("doc", "p.*")
+    sizes = each.groupBy("doc").agg(F.sum(F.size("words")).alias("size"))
+    sizes.write.parquet(f"{path}/sizes")
+    told = each.select("doc", "field", "weight", F.posexplode("words").alias("pos", "token"))
+    met = told.groupBy("token", "doc", "field", "weight").agg(F.array_sort(F.collect_list("pos")).alias("places")).withColumn("bucket", _bucket(F.col("token")))
+    met.repartition("bucket", F.pmod(F.xxhash64("token", "doc"), F.lit(8))).sortWithinPartitions("bucket", "token", "doc").write.partitionBy("bucket").parquet(f"{path}/postings")
+    spark.read.parquet(f"{path}/sizes").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).write.parquet(f"{path}/totals")
+
+
+class Index:
+    """A stored index, opened once; a search reads the folders of its words only."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+        self.totals = spark.read.parquet(f"{path}/totals").first()
+
+    def _postings(self, word: str, prefix: bool = False) -> DataFrame:
+        every = self.spark.read.schema("token string, doc long, field int, weight double, places array<int>, bucket int").parquet(f"{self.path}/postings")
+        if prefix and len(word) < 2:
+            return every.where(F.col("token").startswith(word))
+        bucket = self.spark.range(1).select(_bucket(F.lit(word))).first()[0]
+        here = every.where(F.col("bucket") == bucket)
+        return here.where(F.col("token").startswith(word) if prefix else F.col("token") == word)
+
+    def _term(self, run: tuple[str, ...], prefix: bool = False) -> DataFrame:
+        """(doc, tf) of documents that hold the word, or the words one after another: occurrences weighted by field."""
+        found = self._postings(run[0], prefix).select("doc", "field", "weight", "places")
+        for k, word in enumerate(run[1:], 1):
+            found = found.join(self._shifted(word, k), ["doc", "field"]).withColumn("places", F.array_intersect("places", "_p")).drop("_p")
+        return found.where(F.size("places") > 0).groupBy("doc").agg(F.sum(F.col("weight") * F.size("places")).alias("tf"))
+
+    def _shifted(self, word: str, by: int) -> DataFrame:
+        return self._postings(word).select("doc", "field", F.transform("places", lambda p: p - by).alias("_p"))
+
+    def search(self, terms: Terms) -> DataFrame:
+        """(doc, score) of documents with all words and phrases and none of what is excluded, by BM25; a phrase is one term."""
+        runs = list(dict.fromkeys([*((w,) for w in terms.words), *terms.phrases]))
+        last = (terms.words[-1],) if terms.prefix_last and terms.words else None
+        n, mean = self.totals["n"], self.totals["mean"] or 1.0
+        out = None
+        for k, run in enumerate(runs):
+            term = self._term(run, run == last)
+            df = term.count()
+            idf = max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+            term = term.select("doc", F.col("tf").alias(f"_tf{k}"))
+            out = (term if out is None else out.join(term, "doc")).withColumn(f"_idf{k}", F.lit(idf))
+        if out is None:
+            return self.spark.createDataFrame([], "doc long, score double")
+        for run in terms.excluded:
+            out = out.join(self._term(run).select("doc"), "doc", "left_anti")
+        out = out.join(self.spark.read.parquet(f"{self.path}/sizes"), "doc")
+        score = F.lit(0.0)
+        for k in range(len(runs)):
+            tf = F.col(f"_tf{k}")
+            score = score + F.col(f"_idf{k}") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / mean))
+        return out.select("doc", score.alias("score"))

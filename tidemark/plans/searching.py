@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold, tokens
 from ..operators import search as S
+from ..sources.folders import work_folder
 from ..sources.tables import table
 from .registry import query
 
@@ -32,6 +33,30 @@ def search_items_bm25(spark, sf):
     return found.select(F.col("doc").alias("doc_id"), F.round("score", 5).alias("score"))
 
 
+def _index(spark, sf):
+    """An index of the documents, stored once for each session and folder."""
+    known = _indexes.setdefault(spark.sparkContext.applicationId, {})
+    if sf not in known:
+        known[sf] = work_folder(spark, "index")
+        S.write_index(table(spark, sf, "documents").where("text is not null"), "doc_id", {"title": ("text", 10.0)}, known[sf])
+    return S.Index(spark, known[sf])
+
+
+_indexes: dict = {}
+
+
+@query(f"""
+WITH d AS {JOINED}, s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d WHERE text IS NOT NULL),
+t AS (SELECT doc_id, len(w) AS size, 10.0 * len(list_filter(w, lambda x: starts_with(x, 'ereat'))) AS a, 10.0 * len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS b, j FROM d WHERE text IS NOT NULL),
+f AS (SELECT sum((a > 0)::INT) AS da, sum((b > 0)::INT) AS db FROM t)
+SELECT doc_id, round(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * size / mean)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * size / mean)), 5) AS score
+FROM t, s, f WHERE a > 0 AND b > 0 AND j NOT LIKE '% was %'""")
+def search_stored_index(spark, sf):
+    """A phrase, an excluded word and a prefix over a stored index: only the words' folders are read."""
+    found = _index(spark, sf).search(S.parse('"of the" -was ereat'))
+    return found.select(F.col("doc").alias("doc_id"), F.round("score", 5).alias("score"))
+
+
 @query(f"SELECT doc_id FROM {JOINED} WHERE j LIKE '% of the %'")
 def search_phrase(spark, sf):
     return _matching(spark, sf, '"of the').select("doc_id")
