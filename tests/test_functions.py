@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text, times
-from tidemark.operators import linkage
+from tidemark.operators import linkage, reconcile
 
 
 def value(spark, column):
@@ -17,7 +17,7 @@ def test_normalise(spark, raw, want):
 @pytest.mark.parametrize("a, b, want", [("", "x", 0.0), ("team sync", "team sync", 1.0), ("design review", "design review with ana", 0.95), ("abc", "abd", 2 / 3), ("lunch ana", "ana lunch", 1.0)])
 def test_title_similarity(spark, a, b, want):
     assert abs(value(spark, text.title_similarity(F.lit(a), F.lit(b))) - want) < 1e-9
-    assert abs(linkage._similarity(a, b) - want) < 1e-9
+    assert abs(reconcile.similarity(a, b) - want) < 1e-9
 
 
 @pytest.mark.parametrize("a, b, want", [("ab", "abcdef", 1 / 3), ("abc", "abcdef", 0.8 + 0.1 * 0.99), ("", "", 0.0), ("x1", "x1", 1.0)])
