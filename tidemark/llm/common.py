@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,8 +115,6 @@ def running_total(df: DataFrame, group: list[str], bucket: list[str], order: lis
     Rows are ordered by ``bucket`` columns, then by ``order`` columns. Only rows of one bucket meet in one
     task; groups of any size are carried over their buckets' subtotals. Groups and buckets may be null.
     """
-    from pyspark.sql import Window
-
     keys = group + bucket
     part = df.groupBy(*keys).agg(F.sum(value).alias("_rt_sum"))
     before = Window.partitionBy(*group).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -128,3 +126,20 @@ def running_total(df: DataFrame, group: list[str], bucket: list[str], order: lis
     joined = df.join(part, same, "left").drop(*[f"_rt_{i}" for i in range(len(keys))])
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(out, F.col("_rt_before") + F.sum(value).over(within)).drop("_rt_before")
+
+
+def placed(df: DataFrame, order: list[str], out: str = "at") -> DataFrame:
+    """``df``, kept, with ``out``: each row's place from 0 in the order of columns (null first), over all rows.
+
+    Rows are dealt by ranges of the order, rows equal in it by where they stood, so no range has to hold one group;
+    each range is numbered by itself and moved on by the sizes of those before it, of which there is one a partition.
+    """
+    spark = df.sparkSession
+    keys = [*order, "_pc_tie"]
+    dealt = df.withColumn("_pc_tie", F.monotonically_increasing_id()).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    kept = settled(dealt.drop("_pc_tie").withColumn("_pc_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_pc_row", 33)
+    sizes = kept.groupBy(part.alias("_pc_part")).agg(F.count("*").alias("_pc_n"))
+    before = sizes.select("_pc_part", (F.sum("_pc_n").over(Window.orderBy("_pc_part")) - F.col("_pc_n")).alias("_pc_before"))
+    met = kept.withColumn("_pc_part", part).join(F.broadcast(before), "_pc_part")
+    return met.withColumn(out, F.col("_pc_before") + F.col("_pc_row").bitwiseAND((1 << 33) - 1)).drop("_pc_part", "_pc_before", "_pc_row")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, mixing, sharding, simhash, token_counts, token_files, topk_search, toxicity
-from .common import fold_of, held_out, settled, table
+from . import chat_format, decontaminate, language_id, merkle, mixing, sharding, simhash, token_counts, token_files, topk_search, toxicity
+from .common import fold_of, held_out, lower_ascii, settled, table
 
 
 def tokenizer_path() -> str:
@@ -15,6 +15,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def crc32_sql(number: str) -> str:
+    """The unsigned crc32 of a number as decimal text, byte by byte and bit by bit; the SQL engine has none."""
+    digits = f"list_transform(string_split({number}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)"
+    byte = "list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"CASE WHEN {number} IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda a, b: {byte}), 4294967295) END"
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(fold_of(F.col("doc_id")) != 0))
@@ -157,6 +164,48 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM r GROUP BY conv_id
 """
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ident = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    bent = F.when(fold_of(F.col("doc_id")) == 0, merkle.leaf(*ident, lower_ascii(F.col("text"))))
+    leaves = docs.select("doc_id", "source", merkle.leaf(*ident, F.col("text")).alias("leaf"), bent.alias("bent"))
+    proofs = merkle.with_proofs(leaves, "source", "doc_id", "leaf", keep=("doc_id", "bent"))
+    told = proofs.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"),
+        merkle.folded(F.coalesce("bent", "leaf"), F.col("path")).alias("folded_root"),
+    )
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE f AS (SELECT doc_id, source, lang, n_chars, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS bent_text,
+  @crc32(doc_id)@ AS c FROM documents),
+l AS (SELECT doc_id, source, c,
+  sha256(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+  sha256(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || coalesce(strlen(bent_text) || ':' || bent_text, '-')) AS bent FROM f),
+p AS (SELECT *, coalesce('s' || source, '') AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+up AS (SELECT 0 AS lev, grp, pos, leaf AS node, n FROM p
+  UNION ALL SELECT lev + 1, grp, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), ((n + 15) // 16)::BIGINT FROM up WHERE n > 1 GROUP BY lev, grp, pos // 16, n),
+s AS (SELECT grp, node AS subroot, lev AS levels, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS lev, pos, subroot AS node, n FROM s
+  UNION ALL SELECT lev + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), ((n + 15) // 16)::BIGINT FROM top WHERE n > 1 GROUP BY lev, pos // 16, n),
+beside AS (SELECT lev, grp, pos, coalesce(string_agg(node, '') OVER (PARTITION BY lev, grp, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+  coalesce(string_agg(node, '') OVER (PARTITION BY lev, grp, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM up WHERE n > 1),
+above AS (SELECT lev, pos, coalesce(string_agg(node, '') OVER (PARTITION BY lev, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+  coalesce(string_agg(node, '') OVER (PARTITION BY lev, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM top WHERE n > 1),
+steps AS (SELECT p.doc_id, p.grp, p.pos, b.lev AS k, b.a, b.b FROM p JOIN beside b ON b.grp = p.grp AND b.pos = p.pos // (16 ** b.lev)::BIGINT
+  UNION ALL SELECT p.doc_id, p.grp, p.pos, s.levels + t.lev, t.a, t.b FROM p JOIN s USING (grp) JOIN above t ON t.pos = s.pos // (16 ** t.lev)::BIGINT),
+proofs AS (SELECT grp, pos, sha256(string_agg(a || b, '' ORDER BY k)) AS proof, max(k) AS last FROM steps GROUP BY grp, pos),
+walk AS (SELECT -1::BIGINT AS k, grp, pos, CASE WHEN c % 5 = 0 THEN bent ELSE leaf END AS node FROM p
+  UNION ALL SELECT w.k + 1, w.grp, w.pos, sha256(x.a || w.node || x.b) FROM walk w JOIN steps x ON x.grp = w.grp AND x.pos = w.pos AND x.k = w.k + 1),
+ends AS (SELECT grp, pos, arg_max(node, k) AS folded FROM walk GROUP BY grp, pos),
+r AS (SELECT node AS root FROM top WHERE n = 1)
+SELECT p.doc_id, p.leaf, s.subroot, r.root, coalesce(proofs.proof, sha256('')) AS proof_sha256, ends.folded AS folded_root, ends.folded = r.root AS verified
+FROM p JOIN s USING (grp) JOIN ends ON ends.grp = p.grp AND ends.pos = p.pos LEFT JOIN proofs ON proofs.grp = p.grp AND proofs.pos = p.pos, r
+""".replace("@crc32(doc_id)@", crc32_sql("doc_id"))
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_topk_search": op2_topk_search,
@@ -168,6 +217,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_format_chats": op10_format_chats,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
-ORACLES = {"op2_topk_search": OP2_SQL, "op3_mix_sources": OP3_SQL, "op9_decontaminate": OP9_SQL, "op10_format_chats": OP10_SQL}
+ORACLES = {"op12_merkle_manifest": OP12_SQL, "op2_topk_search": OP2_SQL, "op3_mix_sources": OP3_SQL, "op9_decontaminate": OP9_SQL, "op10_format_chats": OP10_SQL}
