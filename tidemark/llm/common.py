@@ -109,27 +109,34 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def running_total(df: DataFrame, group: list[str], bucket: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over all rows of the group up to and including this one.
+def running_totals(df: DataFrame, group: list[str], bucket: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Adds each of ``sums``' names: the sum of its value over all rows of the group up to and including this one.
 
     Rows are ordered by ``bucket`` columns, then by ``order`` columns. Only rows of one bucket meet in one
     task; groups of any size are carried over their buckets' subtotals. Groups and buckets may be null.
     """
     keys = group + bucket
-    part = df.groupBy(*keys).agg(F.sum(value).alias("_rt_sum"))
+    part = df.groupBy(*keys).agg(*[F.sum(value).alias(f"_rt_sum_{out}") for out, value in sums.items()])
     before = Window.partitionBy(*group).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
     part = part.select(
         *[F.col(k).alias(f"_rt_{i}") for i, k in enumerate(keys)],
-        F.coalesce(F.sum("_rt_sum").over(before), F.lit(0)).alias("_rt_before"),
+        *[F.coalesce(F.sum(f"_rt_sum_{out}").over(before), F.lit(0)).alias(f"_rt_before_{out}") for out in sums],
     )
     same = [df[k].eqNullSafe(part[f"_rt_{i}"]) for i, k in enumerate(keys)]
     joined = df.join(part, same, "left").drop(*[f"_rt_{i}" for i in range(len(keys))])
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn(out, F.col("_rt_before") + F.sum(value).over(within)).drop("_rt_before")
+    for out, value in sums.items():
+        joined = joined.withColumn(out, F.col(f"_rt_before_{out}") + F.sum(value).over(within))
+    return joined.drop(*[f"_rt_before_{out}" for out in sums])
+
+
+def running_total(df: DataFrame, group: list[str], bucket: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``running_totals`` of one value."""
+    return running_totals(df, group, bucket, order, {out: value})
 
 
-def placed(df: DataFrame, order: list[str], out: str = "at") -> DataFrame:
-    """``df``, kept, with ``out``: each row's place from 0 in the order of columns (null first), over all rows.
+def placed(df: DataFrame, order: list[str], out: str = "at", only: list[str] | None = None) -> DataFrame:
+    """``df`` (or ``only`` some columns), kept, with ``out``: each row's place from 0 in the order of columns (null first).
 
     Rows are dealt by ranges of the order, rows equal in it by where they stood, so no range has to hold one group;
     each range is numbered by itself and moved on by the sizes of those before it, of which there is one a partition.
@@ -137,7 +144,7 @@ def placed(df: DataFrame, order: list[str], out: str = "at") -> DataFrame:
     spark = df.sparkSession
     keys = [*order, "_pc_tie"]
     dealt = df.withColumn("_pc_tie", F.monotonically_increasing_id()).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
-    kept = settled(dealt.drop("_pc_tie").withColumn("_pc_row", F.monotonically_increasing_id()))
+    kept = settled(dealt.select(*(only or df.columns), F.monotonically_increasing_id().alias("_pc_row")))
     part = F.shiftright("_pc_row", 33)
     sizes = kept.groupBy(part.alias("_pc_part")).agg(F.count("*").alias("_pc_n"))
     before = sizes.select("_pc_part", (F.sum("_pc_n").over(Window.orderBy("_pc_part")) - F.col("_pc_n")).alias("_pc_before"))

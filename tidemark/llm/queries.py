@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, merkle, mixing, sharding, simhash, token_counts, token_files, topk_search, toxicity
+from . import chat_format, decontaminate, language_id, merkle, mixing, prefix_trie, sharding, simhash, token_counts, token_files, topk_search, toxicity
 from .common import fold_of, held_out, lower_ascii, settled, table
 
 
@@ -206,6 +206,29 @@ SELECT p.doc_id, p.leaf, s.subroot, r.root, coalesce(proofs.proof, sha256('')) A
 FROM p JOIN s USING (grp) JOIN ends ON ends.grp = p.grp AND ends.pos = p.pos LEFT JOIN proofs ON proofs.grp = p.grp AND proofs.pos = p.pos, r
 """.replace("@crc32(doc_id)@", crc32_sql("doc_id"))
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns)).drop("place")
+
+
+OP13_SQL = f"""
+WITH t AS (SELECT conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS s, strlen(coalesce(text, '')) AS bytes,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, count(*) AS size, {crc32_sql("conv_id")} % 9 AS h, conv_id - conv_id % 5 AS base FROM t GROUP BY conv_id),
+c AS (SELECT o.*, least(o.h, coalesce(b.size, 0)) AS taken FROM o LEFT JOIN o b ON b.conv_id = o.base),
+r AS (SELECT c.conv_id, t.p + 1 AS d, t.s, t.bytes FROM c JOIN t ON t.conv_id = c.base AND t.p < c.taken
+  UNION ALL SELECT c.conv_id, taken + p - h + 1, s, bytes FROM c JOIN t USING (conv_id) WHERE p >= h),
+w AS (SELECT c.conv_id, coalesce(string_agg(s, '' ORDER BY d), '') AS path, coalesce(list(bytes ORDER BY d) FILTER (d IS NOT NULL), []) AS sizes FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+n AS (SELECT path[1:64 * d] AS node, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(sizes[d]), 0) AS bytes,
+  string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(sizes) = d) AS ends FROM (SELECT *, unnest(range(len(sizes) + 1)) AS d FROM w) GROUP BY 1, 2),
+k AS (SELECT node[1:64 * (d - 1)] AS up, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1),
+b AS (SELECT n.node[1:64 * a.d] AS node, sum((n.n_convs - 1) * n.bytes) AS saved, count(*) FILTER (k.up IS NULL) AS leaves
+  FROM (SELECT *, unnest(range(d + 1)) AS u FROM n) n JOIN (SELECT DISTINCT d FROM n) a ON a.d = n.u LEFT JOIN k ON k.up = n.node GROUP BY 1)
+SELECT n.conv_id, n.d::BIGINT AS depth, q.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(k.kids, 0)::BIGINT AS n_children, b.leaves::BIGINT AS n_leaves,
+  b.saved::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n LEFT JOIN n q ON n.d > 0 AND q.node = n.node[1:64 * (n.d - 1)] LEFT JOIN k ON k.up = n.node JOIN b ON b.node = n.node
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_topk_search": op2_topk_search,
@@ -218,6 +241,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_format_chats": op10_format_chats,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLES = {"op12_merkle_manifest": OP12_SQL, "op2_topk_search": OP2_SQL, "op3_mix_sources": OP3_SQL, "op9_decontaminate": OP9_SQL, "op10_format_chats": OP10_SQL}
+ORACLES = {"op12_merkle_manifest": OP12_SQL, "op13_prefix_trie": OP13_SQL, "op2_topk_search": OP2_SQL, "op3_mix_sources": OP3_SQL, "op9_decontaminate": OP9_SQL, "op10_format_chats": OP10_SQL}
