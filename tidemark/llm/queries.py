@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, merkle, mixing, prefix_trie, sharding, simhash, token_counts, token_files, topk_search, toxicity
+from . import chat_format, decontaminate, language_id, merkle, mixing, pii, prefix_trie, sharding, simhash, token_counts, token_files, topk_search, toxicity
 from .common import fold_of, held_out, lower_ascii, settled, table
 
 
@@ -164,6 +164,12 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM r GROUP BY conv_id
 """
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.number(F.col("found"), n).alias(f"n_{kind}") for n, kind in enumerate(pii.KINDS)]
+    return told.select("doc_id", *counts, F.sha2(pii.listed(F.col("found")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ident = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -240,6 +246,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_format_chats": op10_format_chats,
+    "op11_personal_data": op11_personal_data,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_prefix_trie": op13_prefix_trie,
 }
