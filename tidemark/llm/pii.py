@@ -203,9 +203,11 @@ def learn(docs: DataFrame, places: DataFrame) -> DataFrame:
     apart = settled(near(open_.select("v", place, F.explode(F.array(*PATTERNS)).alias("h")), "v", "place", "h"))
     unseen = settled(near(pairs.where(F.col("kind").isNull()).select("h", "v"), "h", "v"))
 
-    scored = _scored(known.withColumn("more", F.lit(0.0)))
+    scored = settled(_scored(known.withColumn("more", F.lit(0.0))))
     for _ in range(ROUNDS):
         telling = settled(scored.where((F.col("mass") >= SUPPORT) & (F.col("score") >= LEAST)).select("h", "score", "n"))
+        if not telling.head(1):
+            break  # no candidate's score can move any more
         best = looked_up(apart, telling, "h").where(F.col("score").isNotNull()).groupBy("v", "place").agg(F.max("score").alias("score"))
         found = best.groupBy("v").agg(F.sum("score").alias("score")).join(total, "v").select("v", (F.col("score") / F.col("places")).alias("own"))
         met = settled(found.join(unseen.groupBy("v").agg(F.count("*").alias("n")), "v"))
