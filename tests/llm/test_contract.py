@@ -85,41 +85,67 @@ def test_op4(spark, folder):
     assert sum(p == t for p, t in told) >= 0.98 * len(told)
 
 
-def plain_evidence(counts, word):
-    """The difference of log-likelihoods from the definition, over beginnings of words with their ends."""
-    n, kinds = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0, 0])
+def plain_model(counts):
+    """Evidence of a word from the definition: every letter after the nine before it, steps of less than LEAST as none."""
+    def steps(word):
+        whole = toxicity.START + word + toxicity.END
+        return [whole[max(0, k - toxicity.ORDER) : k + 1] for k in range(1, len(whole))]
+
+    n, kinds, total = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0, 0]), defaultdict(lambda: [0, 0])
     for w, pair in counts.items():
-        ended = w + toxicity.END
-        for k in range(1, min(len(ended), toxicity.ORDER) + 1):
+        for step in steps(w):
             for c in (0, 1):
-                n[ended[:k]][c] += pair[c]
+                n[step][c] += pair[c]
     for step, pair in n.items():
         for c in (0, 1):
             kinds[step[:-1]][c] += pair[c] > 0
+            total[step[:-1]][c] += pair[c]
         kinds[step[:-1]][2] += 1
-    total = lambda h, c: sum(pair[c] for step, pair in n.items() if step[:-1] == h)
-    letters, d, a, out = len({step[-1] for step in n}), toxicity.DISCOUNT, toxicity.SHARED, 0.0
-    ended = word + toxicity.END
-    for k in range(1, min(len(ended), toxicity.ORDER) + 1):
-        step, h = ended[:k], ended[: k - 1]
-        size, rest = [total(h, c) for c in (0, 1)], [(d * kinds[h][c] + a) for c in (0, 1)]
+    letters, d, a = len({step[-1] for step in n}), toxicity.DISCOUNT, toxicity.SHARED
+
+    def evidence(step):
+        h = step[:-1]
+        if h not in total:
+            return 0.0
+        rest = [(d * kinds[h][c] + a) / (total[h][c] + a) for c in (0, 1)]
         if step not in n:
-            return out + math.log(rest[0] / (size[0] + a)) - math.log(rest[1] / (size[1] + a))
-        pooled = (max(sum(n[step]) - d, 0) + d * kinds[h][2] / letters) / sum(size)
-        p = [max(n[step][c] - d, 0) / (size[c] + a) + rest[c] / (size[c] + a) * pooled for c in (0, 1)]
-        out += math.log(p[0]) - math.log(p[1])
-    return out
+            return math.log(rest[0]) - math.log(rest[1])
+        pooled = (max(sum(n[step]) - d, 0) + d * kinds[h][2] / letters) / sum(total[h])
+        p = [max(n[step][c] - d, 0) / (total[h][c] + a) + rest[c] * pooled for c in (0, 1)]
+        return math.log(p[0]) - math.log(p[1])
+
+    return lambda word: sum(e for e in map(evidence, steps(word)) if abs(e) >= toxicity.LEAST)
 
 
-def test_op4_model_is_its_definition(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "LEAST", 0.0)
+def made_counts():
     rnd = random.Random(4)
-    counts = {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 12))): [rnd.randint(0, 40), rnd.randint(0, 40)] for _ in range(60)}
-    rows = spark.createDataFrame([(w, *pair) for w, pair in counts.items()], "word string, t long, o long")
-    model = toxicity.Model(toxicity._table(toxicity.spelling_steps(rows)))
-    words = [*counts, "a", "zz", "abcabcabcabcabc", "cc"]
-    for word, got in zip(words, model.word_evidence(words), strict=True):
-        assert got == pytest.approx(plain_evidence(counts, word), abs=1e-4)
+    counts = {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 14))): [rnd.randint(0, 400), rnd.randint(0, 400)] for _ in range(60)}
+    return counts | {"extremelyvicious": [300, 0], "extremelyhelpful": [0, 300]}
+
+
+def test_op4_model_is_its_definition(spark):
+    counts = made_counts()
+    rows = spark.createDataFrame([(toxicity.START + w + toxicity.END, *pair) for w, pair in counts.items()], "word string, t long, o long")
+    steps = toxicity.spelling_steps(rows).cache()
+    model, plain = toxicity.Model(toxicity._table(steps)), plain_model(counts)
+    words = [*counts, "a", "zz", "abcabcabcabcabc", "cc", "extremelyvi", "extremelynew"]
+    found = dict(zip(words, model.word_evidence([toxicity.START + w + toxicity.END for w in words]), strict=True))
+    for word, got in found.items():
+        assert got == pytest.approx(plain(word), abs=1e-4), word
+    assert found["extremelyvicious"] > 1 and found["extremelyhelpful"] < -1
+    texts = [" ".join(random.Random(k).choices(words, k=k)) for k in range(1, 120, 7)] + [None, "", "12", "x" * 500, "extremelyvicious" * 30]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] * 2, "doc_id int, text string").withColumn("word", F.lit(1)).withColumn("a", F.lit(2))
+    sent, joined = ({(r.doc_id, r.text): r.evidence for r in toxicity.evidence_of(docs, toxicity.Model(x)).collect()} for x in (model.steps, steps))
+    assert sent.keys() == joined.keys()
+    for key, value in sent.items():
+        assert joined[key] == pytest.approx(value, abs=1e-4), key
+    assert toxicity.score_documents(docs, toxicity.Model(steps)).count() == 2 * len(texts)
+
+
+def test_op4_reads_runs_without_blanks_whole():
+    run = "".join(random.Random(1).choice("abcd") for _ in range(205))
+    read = [g[-1] for event in toxicity.events(f"x {run}9y") for g in toxicity.grams(event)]
+    assert "".join(read) == f"x{toxicity.END}{run}{toxicity.END}y{toxicity.END}"
 
 
 def test_op5(spark, folder):

@@ -1,17 +1,20 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-Both models spell words: each letter of a word, and its end, follows from all letters before it (up to ``ORDER``).
-Counts are of documents: a word counts once in each labelled document of a class that holds it. As in Kneser-Ney
-smoothing every count is discounted and the rest of the mass backs off. Both classes back off to one distribution, that
-of their pooled counts after the same letters, which also gets ``SHARED`` counts of its own in each class: rare
-expressions cannot tell the classes apart, common ones only as far as the classes' counts do.
-
-Each word of a document is one event; its evidence is the difference of the two log-likelihoods of its letters. A document's evidence is the mean over the ``TOP`` share of its events that speak most
+Both models spell words: each letter of a word, and its end, follows from the ``ORDER`` letters before it, the word's start
+included. Counts are of documents: a word counts once in each labelled document of a class that holds it. As in
+Kneser-Ney smoothing every count is discounted and the rest of the mass backs off. Both classes back off to one
+distribution, that of their pooled counts after the same letters, which also gets ``SHARED`` counts of its own in each class:
+rare expressions cannot tell the classes apart, common ones only as far as the classes' counts do.
+
+Each word of a document is one event; its evidence is the difference of the two log-likelihoods of its letters. A run of
+more than ``PIECE`` letters (scripts without blanks) is as many events as it has pieces, each with the letters before it
+as context; all letters are read. A document's evidence is the mean over the ``TOP`` share of its events that speak most
 for the toxic model, so it depends neither on the text's length nor on its language. A logistic curve, fitted on
 labelled documents that gave no counts, turns it into a score.
 
-The counts cover every labelled document. The tasks get the steps whose evidence is at least ``LEAST``; others count as
-none. Where more than ``MOST_STEPS`` rows are left, ``LEAST`` doubles until they fit, so what is sent has a bound.
+The counts cover every labelled document. A step of an evidence below ``LEAST`` counts as none, whatever the corpus's size.
+Tasks get the telling steps as a table while these are ``SENT_STEPS`` or fewer; beyond that, words meet the steps, and documents
+their words, in joins, with the same results.
 
 Texts are taken whole, lower-cased; words are runs of letters.
 
@@ -38,19 +41,48 @@ from pyspark.sql import functions as F
 
 from .common import settled
 
-#: Letters of a spelled word that are told apart, discount, and counts that each class shares with the other.
+#: Letters before a letter that it follows from, discount, and counts that each class shares with the other.
 ORDER, DISCOUNT, SHARED = 9, 0.75, 100.0
-#: Share of a document's events that decide, least evidence of a step that is sent, and most steps sent.
-TOP, LEAST, MOST_STEPS = 0.02, 0.05, 400_000
+#: Share of a document's events that decide, least evidence of a step that counts, letters of an event at most.
+TOP, LEAST, PIECE = 0.02, 0.1, 40
+#: Steps that are sent to tasks at most; more are joined.
+SENT_STEPS = 600_000
 #: Documents that the curve is fitted on at most, and the share of labelled documents if that is less.
 CURVE_ROWS, CURVE_SHARE, STEPS = 20_000, 0.25, 25
 #: Words kept for each worker.
 KEPT = 150_000
 WORD = re.compile(r"[^\W\d_]+")
-END = "\x03"
+START, END, GOES_ON = "\x02", "\x03", "\x04"
 SEED = 42
 
 
+def events(text: str) -> list[str]:
+    """The words of a text between their marks; long ones in pieces that begin with a mark and the letters before them."""
+    out = []
+    for run in WORD.findall(text.lower()):
+        whole = START + run + END
+        if len(run) <= PIECE:
+            out.append(whole)
+            continue
+        out.append(whole[: PIECE + 1])
+        out += [GOES_ON + whole[k - ORDER : k + PIECE] for k in range(PIECE + 1, len(whole), PIECE)]
+    return out
+
+
+def grams(event: str) -> list[str]:
+    """Each letter of an event with those that it follows from."""
+    letters, first = (event, 1) if event[0] == START else (event[1:], ORDER)
+    return [letters[max(0, k - ORDER) : k + 1] for k in range(first, len(letters))]
+
+
+def _grams(event: Column) -> Column:
+    """``grams`` as a column."""
+    whole = F.startswith(event, F.lit(START))
+    letters = F.when(whole, event).otherwise(F.expr("substring(word, 2)"))
+    at = F.sequence(F.when(whole, F.lit(1)).otherwise(F.lit(ORDER)), F.length(letters) - 1)
+    return F.transform(at, lambda k: F.substring(letters, F.greatest(k - ORDER, F.lit(0)) + 1, F.least(k, F.lit(ORDER)) + 1))
+
+
 def count_words(labelled: DataFrame) -> DataFrame:
     """(word, t, o): toxic and ordinary documents that hold each word."""
 
@@ -65,7 +97,7 @@ def count_words(labelled: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, kind in zip(batch["text"], batch["toxic"], strict=True):
-                held[kind].update(set(WORD.findall(text.lower())))
+                held[kind].update(set(events(text)))
                 if len(held[kind]) > 2 * KEPT:
                     yield packed(kind)
         for kind in held:
@@ -82,13 +114,12 @@ def _unseen(t: str, n: str) -> Column:
 
 
 def spelling_steps(words: DataFrame) -> DataFrame:
-    """(step, known, unknown): for each beginning of a word the evidence of its last letter, and of any other letter to follow."""
-    ended = F.concat("word", F.lit(END))
-    upto = F.sequence(F.lit(1), F.least(F.length(ended), F.lit(ORDER)))
-    steps = words.select(F.explode(F.transform(upto, lambda k: F.substring(ended, F.lit(1), k))).alias("step"), "t", "o")
+    """(step, known, unknown): a letter's evidence after those before it, and that of a letter never met after these. Telling ones only."""
+    steps = words.select(F.explode(_grams(F.col("word"))).alias("step"), "t", "o")
     steps = steps.groupBy("step").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).withColumn("after", F.expr("substring(step, 1, length(step) - 1)"))
     some = lambda c: F.count(F.when(F.col(c) > 0, 1))
     after = steps.groupBy(F.col("after").alias("step")).agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), some("t").alias("kt"), some("o").alias("ko"), F.count("*").alias("k"))
+    after = after.withColumn("unknown", F.log(_unseen("kt", "nt")) - F.log(_unseen("ko", "no")))
     letters = steps.agg(F.countDistinct(F.substring("step", -1, 1)).alias("letters"))
     drawn = steps.join(after.withColumnRenamed("step", "after"), "after").join(F.broadcast(letters))
     n, c = F.col("nt") + F.col("no"), F.col("t") + F.col("o")
@@ -97,9 +128,11 @@ def spelling_steps(words: DataFrame) -> DataFrame:
     def given(count: str, kinds: str, total: str) -> Column:
         return F.greatest(F.col(count) - DISCOUNT, F.lit(0)) / (F.col(total) + SHARED) + _unseen(kinds, total) * pooled
 
-    known = drawn.select("step", (F.log(given("t", "kt", "nt")) - F.log(given("o", "ko", "no"))).alias("known"))
-    unknown = after.select("step", (F.log(_unseen("kt", "nt")) - F.log(_unseen("ko", "no"))).alias("unknown"))
-    return known.join(unknown, "step", "full_outer").select("step", F.coalesce("known", F.lit(0.0)).alias("known"), F.coalesce("unknown", F.lit(0.0)).alias("unknown"))
+    known = drawn.select("step", (F.log(given("t", "kt", "nt")) - F.log(given("o", "ko", "no"))).alias("known"), F.col("unknown").alias("else"))
+    met = known.join(after.select("step", "unknown"), "step", "full_outer")
+    telling = F.greatest(*[F.abs(F.coalesce(c, F.lit(0.0))) for c in ("known", "unknown", "else")]) >= LEAST
+    cut = lambda c: F.when(F.abs(c) >= LEAST, F.col(c)).otherwise(0.0).alias(c)
+    return met.where(telling).select("step", cut("known"), cut("unknown"), F.col("known").isNotNull().alias("seen"))
 
 
 def hashed(text: str) -> int:
@@ -122,15 +155,11 @@ class Table:
 
 
 def _table(steps: DataFrame) -> Table:
-    """The telling rows, as many as fit; the driver gets at most ``MOST_STEPS``."""
-    least = LEAST
-    telling = lambda: steps.where(F.greatest(F.abs("known"), F.abs("unknown")) >= least)
-    while telling().count() > MOST_STEPS:
-        least *= 2
-    found = telling().select(F.xxhash64("step").alias("k"), "known", "unknown").toPandas()
+    """At most ``SENT_STEPS`` rows, for the tasks."""
+    found = steps.select(F.xxhash64("step").alias("k"), "known", "unknown", F.col("seen").cast("float").alias("seen")).toPandas()
     keys = found["k"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    return Table(keys[order], found[["known", "unknown"]].to_numpy(np.float32)[order])
+    return Table(keys[order], found[["known", "unknown", "seen"]].to_numpy(np.float32)[order])
 
 
 _known: dict[str, dict[str, float]] = {}
@@ -138,30 +167,22 @@ _known: dict[str, dict[str, float]] = {}
 
 @dataclass
 class Model:
-    steps: Table  # evidence of a letter that was met after the others, and of one that was not
+    steps: Table | DataFrame  # evidence of a letter after others, of one never met after these, and whether the letter was; or too many for a table
     slope: float = 1.0
     offset: float = 0.0
     empty: bool = False
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def word_evidence(self, words: list[str]) -> np.ndarray:
-        """Toxic less ordinary log-likelihood of each word's letters."""
-        ended = [w + END for w in words]
-        longest = min(ORDER, max(map(len, ended), default=0))
-        out, sizes = np.zeros(len(words)), np.fromiter(map(len, ended), np.int64, len(words))
-        last = np.zeros(len(words))
-        there, root = self.steps.at(np.array([hashed("")], np.uint64))
-        last[:] = root[0, 1]
-        open_ = np.ones(len(words), bool)
-        for size in range(1, longest + 1):
-            go = np.nonzero(open_ & (sizes >= size))[0]
-            if not len(go):
-                break
-            there, found = self.steps.at(np.fromiter((hashed(ended[k][:size]) for k in go.tolist()), np.uint64, len(go)))
-            out[go] += np.where(there, found[:, 0], last[go])
-            last[go] = found[:, 1]
-            open_[go] = there
-        return out
+        """Toxic less ordinary log-likelihood of each event's letters: of the step if it was seen, else of what may follow its letters."""
+        each = [grams(w) for w in words]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        flat = [g for all_ in each for g in all_]
+        keys = lambda texts: np.fromiter(map(hashed, texts), np.uint64, len(flat))
+        _, own = self.steps.at(keys(flat))
+        _, before = self.steps.at(keys([g[:-1] for g in flat]))
+        value = np.where(own[:, 2] > 0, own[:, 0], before[:, 1])
+        return np.bincount(np.repeat(np.arange(len(words)), sizes), value, len(words))
 
     def known(self, words: set[str]) -> dict[str, float]:
         """Evidence of the words, kept for this worker."""
@@ -180,13 +201,13 @@ class Model:
         """The mean evidence of each text's most toxic events, 0 without words."""
         out = np.zeros(len(texts))
         for k, text in enumerate(texts):
-            words = WORD.findall(text.lower()) if text else []
+            words = events(text) if text else []
             if not words:
                 continue
             known = self.known(set(words))
-            events = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-            top = max(1, int(len(events) * TOP))
-            out[k] = np.partition(events, len(events) - top)[len(events) - top :].mean()
+            each = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+            top = max(1, int(len(each) * TOP))
+            out[k] = np.partition(each, len(each) - top)[len(each) - top :].mean()
         return out
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -202,8 +223,9 @@ def train(counting: DataFrame, fitting: DataFrame) -> Model:
     counted = settled(count_words(_usable(counting)))
     classes = counted.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("o"), F.lit(0)).alias("o")).first()
     if not classes["t"] or not classes["o"]:
-        return Model(Table(np.zeros(0, np.uint64), np.zeros((0, 2), np.float32)), empty=True)
-    model = Model(_table(settled(spelling_steps(counted))))
+        return Model(Table(np.zeros(0, np.uint64), np.zeros((0, 3), np.float32)), empty=True)
+    steps = settled(spelling_steps(counted))
+    model = Model(_table(steps) if steps.count() <= SENT_STEPS else steps)
     sample = _usable(fitting).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
     fitted = evidence_of(sample, model).select("evidence", F.col("toxic").cast("double")).toPandas()
     model.slope, model.offset = fit_curve(fitted["evidence"].to_numpy(), fitted["toxic"].to_numpy())
@@ -232,6 +254,9 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def evidence_of(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Adds ``evidence``."""
+    if isinstance(model.steps, DataFrame):
+        return _joined_evidence(documents, model.steps, text)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -242,8 +267,39 @@ def evidence_of(documents: DataFrame, model: Model, text: str = "text") -> DataF
     return documents.withColumn("evidence", measured(F.col(text)))
 
 
+def _counted_events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for a, b, text in zip(batch["a"], batch["b"], batch["text"], strict=True):
+            held = Counter(events(text))
+            if held:
+                yield pd.DataFrame({"a": a, "b": b, "word": list(held), "n": list(held.values())})
+
+
+def _joined_evidence(documents: DataFrame, steps: DataFrame, text: str) -> DataFrame:
+    """``evidence_of`` for any number of steps: distinct events meet the steps once, distinct texts their events."""
+    key = [F.xxhash64(text).alias("a"), F.xxhash64(F.lit("b"), text).alias("b")]
+    held = documents.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("text")).dropDuplicates(["a", "b"]).mapInPandas(_counted_events, "a long, b long, word string, n long")
+    held = settled(held)
+    each = held.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("step")).withColumn("before", F.expr("substring(step, 1, length(step) - 1)"))
+    own = each.join(steps.where("seen").select("step", "known", "seen"), "step", "left")
+    both = own.join(steps.where("unknown != 0").select(F.col("step").alias("before"), "unknown"), "before", "left")
+    said = both.groupBy("word").agg(F.sum(F.when(F.col("seen"), F.col("known")).otherwise(F.coalesce("unknown", F.lit(0.0)))).alias("e"))
+    pairs = held.join(said, "word").groupBy("a", "b").agg(F.sum("n").alias("events"), F.sort_array(F.collect_list(F.struct("e", "n")), asc=False).alias("best"))
+    top = F.greatest(F.floor(F.col("events") * TOP), F.lit(1)).cast("long")
+    start = F.struct(F.lit(0.0).alias("sum"), top.alias("left"))
+    taken = F.aggregate("best", start, lambda s, x: F.struct((s["sum"] + x["e"] * F.least(s["left"], x["n"])).alias("sum"), (s["left"] - F.least(s["left"], x["n"])).alias("left")))
+    found = settled(pairs.select(F.col("a").alias("_tx_a"), F.col("b").alias("_tx_b"), (taken["sum"] / top).alias("_tx_e")))
+    whole = documents.select(F.struct(*documents.columns).alias("_tx_row"), *[k.alias(f"_tx_{n}k") for k, n in zip(key, "ab", strict=True)])
+    met = whole.join(found, (F.col("_tx_ak") == F.col("_tx_a")) & (F.col("_tx_bk") == F.col("_tx_b")), "left")
+    return met.select("_tx_row", F.coalesce("_tx_e", F.lit(0.0)).alias("_tx_e")).select("_tx_row.*", F.col("_tx_e").alias("evidence"))
+
+
 def score_documents(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on)."""
+    if isinstance(model.steps, DataFrame):
+        x = F.least(F.greatest(F.lit(model.slope) * F.col("evidence") + model.offset, F.lit(-500.0)), F.lit(500.0))
+        scored_rows = evidence_of(documents, model, text).withColumn("score", 1 / (1 + F.exp(-x))).drop("evidence")
+        return scored_rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
