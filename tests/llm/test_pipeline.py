@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tidemark.llm import decontaminate
@@ -31,7 +32,10 @@ def planted():
 
 def test_stages(spark, docs, stored, planted):
     rows, labels, items = planted
-    sf = stored(documents=docs(rows), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    clash = docs(rows)
+    for name in ("_pl_id", "_pl_key", "_doc", "_id", "_key", "_mx_id", "_mx_n", "_mx_row", "_sh_key", "_sh_row", "_sh_at", "score", "copies", "key", "component", "_tx_e"):
+        clash = clash.withColumn(name, F.lit("c"))
+    sf = stored(documents=clash, labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame(items, "item_id long, text string"))
     now, seen = spark.read.parquet(f"{sf}/documents.parquet"), []
     for k, (_, stage) in enumerate(P.STAGES):
         out = stage(spark, now, sf)
@@ -55,3 +59,9 @@ def test_decisions_agree_with_the_rule(spark):
     rows = spark.createDataFrame([(1, 20), (1, 21), (0, 0), (5, 5)], kind)
     got = [r.c for r in rows.select(decontaminate.contaminated(rows.n_hit, rows.n_words).alias("c")).collect()]
     assert got == [True, False, False, True]
+
+
+def test_stages_of_no_documents(spark, docs, stored):
+    empty = docs([])
+    sf = stored(documents=empty, labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id long, text string"))
+    assert P.run(spark, sf).count() == 0

@@ -85,17 +85,16 @@ def mixed_documents(documents: DataFrame, seed: int = 0, **shares) -> DataFrame:
     The mix is drawn on narrow rows. Documents meet its result by id, source and a key of the text, so whole texts are
     shuffled once; rows alike in all three share their copies evenly.
     """
-    kept = documents.columns
     source, key = documents["source"], text_key(documents["text"])
     narrow = settled(documents.select("doc_id", "source", word_count(documents["text"]).alias("size"), key.alias("key")))
     drawn = copies_to_take(narrow, source_targets(narrow, **shares), seed)
     taken = drawn.groupBy("doc_id", "source", "key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where(F.col("copies") > 0)
     taken = taken.select(F.col("doc_id").alias("_mx_id"), F.col("source").alias("_mx_source"), F.col("key").alias("_mx_key"), F.col("copies").alias("_mx_copies"), F.col("rows").alias("_mx_rows"))
-    on = F.col("_mx_id").eqNullSafe(documents["doc_id"]) & F.col("_mx_source").eqNullSafe(source) & F.col("_mx_key").eqNullSafe(key)
-    met = documents.join(taken, on)
+    whole = documents.select(F.struct(*documents.columns).alias("_mx_row"), F.col("doc_id").alias("_mx_i"), source.alias("_mx_s"), key.alias("_mx_k"))
+    met = whole.join(taken, F.col("_mx_id").eqNullSafe(F.col("_mx_i")) & F.col("_mx_source").eqNullSafe(F.col("_mx_s")) & F.col("_mx_key").eqNullSafe(F.col("_mx_k")))
     alike = Window.partitionBy("_mx_id", "_mx_source", "_mx_key").orderBy(F.lit(1))
     once = met.where("_mx_rows = 1").withColumn("_mx_n", F.col("_mx_copies"))
     more = met.where("_mx_rows > 1").withColumn("_mx_at", F.row_number().over(alike))
     more = more.withColumn("_mx_n", F.floor(F.col("_mx_copies") / F.col("_mx_rows")) + (F.col("_mx_at") <= F.col("_mx_copies") % F.col("_mx_rows")).cast("int")).drop("_mx_at")
-    each = lambda rows: rows.where("_mx_n > 0").withColumn("_mx_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mx_n").cast("int")))).select(*kept)
+    each = lambda rows: rows.where("_mx_n > 0").withColumn("_mx_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mx_n").cast("int")))).select("_mx_row.*")
     return each(once).unionByName(each(more))

@@ -124,8 +124,9 @@ def assign_shards(rows: DataFrame, shards: int = 24, doc_id: str = "doc_id", tex
     kept = [c for c in rows.columns if c not in ("shard", "slot")]
     key = F.xxhash64(text) if text_hash is None else F.col(text_hash)
     keyed = rows.select(
-        *kept, key.alias("_sh_key"), F.xxhash64(F.lit("tie"), F.col(doc_id)).alias("_sh_tie"), (record_size(F.col(text)) if size is None else F.col(size)).alias("_sh_size")
-    )
+        F.struct(*kept).alias("_sh_row"), F.col(doc_id).alias("_sh_id"), key.alias("_sh_key"), F.xxhash64(F.lit("tie"), F.col(doc_id)).alias("_sh_tie"),
+        (record_size(F.col(text)) if size is None else F.col(size)).alias("_sh_size"),
+    )
     narrow = settled(keyed.select("_sh_key", "_sh_tie", "_sh_size"))
     n, total = narrow.agg(F.count("*"), F.coalesce(F.sum("_sh_size"), F.lit(0))).first()
     ranges = min(MOST_RANGES, max(RANGES_PER_SHARD * shards, n // ROWS_PER_RANGE))
@@ -146,19 +147,19 @@ def assign_shards(rows: DataFrame, shards: int = 24, doc_id: str = "doc_id", tex
             own[shard] += rows_in
     ranged = keyed.withColumn("_sh_r", _range_of(F.col("_sh_key"), F.col("_sh_tie"), found))
     places = rows.sparkSession.createDataFrame(offsets, "_sh_r2 int, _sh_b long, _sh_n long, _sh_home int")
-    order = Window.partitionBy("_sh_r").orderBy("_sh_key", "_sh_tie", doc_id)
+    order = Window.partitionBy("_sh_r").orderBy("_sh_key", "_sh_tie", "_sh_id")
     upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("_sh_r", "_sh_key")
     laid = ranged.join(F.broadcast(places), F.col("_sh_r") == F.col("_sh_r2"))
-    laid = laid.withColumn("_sh_start", F.col("_sh_b") + F.sum("_sh_size").over(upto) - F.col("_sh_size")).withColumn("_sh_row", F.col("_sh_n") + F.row_number().over(order) - 1)
+    laid = laid.withColumn("_sh_start", F.col("_sh_b") + F.sum("_sh_size").over(upto) - F.col("_sh_size")).withColumn("_sh_at", F.col("_sh_n") + F.row_number().over(order) - 1)
     middle = lambda start, size: start + size / 2  # noqa: E731  of a row's or a whole group's bytes
     alone = F.col("_sh_key").isin(list(over)) if over else F.lit(False)
     spot = F.when(alone, middle(F.col("_sh_start"), F.col("_sh_size"))).otherwise(middle(F.min("_sh_start").over(whole), F.sum("_sh_size").over(whole)))
     passed = F.filter(F.array(*[F.lit(float(e)) for e in ends]), lambda e: e <= F.col("_sh_spot"))
     laid = laid.withColumn("_sh_spot", spot).withColumn("shard", F.coalesce("_sh_home", F.least(F.size(passed), F.lit(shards - 1))).cast("int"))
-    seen = laid.groupBy("shard").agg(F.min(F.when(F.col("_sh_home").isNull(), F.col("_sh_row"))).alias("f"), F.count(F.when(F.col("_sh_home").isNull(), 1)).alias("c")).collect()
+    seen = laid.groupBy("shard").agg(F.min(F.when(F.col("_sh_home").isNull(), F.col("_sh_at"))).alias("f"), F.count(F.when(F.col("_sh_home").isNull(), 1)).alias("c")).collect()
     lookup = lambda c: F.create_map(*[F.lit(x) for r in seen for x in (r["shard"], r[c] or 0)]).cast("map<int,bigint>")[F.col("shard")] if seen else F.lit(0)
-    slot = F.when(F.col("_sh_home").isNull(), F.col("_sh_row") - lookup("f")).otherwise(F.col("_sh_row") + lookup("c"))
-    return laid.withColumn("slot", slot.cast("long")).select(*kept, "shard", "slot")
+    slot = F.when(F.col("_sh_home").isNull(), F.col("_sh_at") - lookup("f")).otherwise(F.col("_sh_at") + lookup("c"))
+    return laid.withColumn("slot", slot.cast("long")).select("_sh_row.*", "shard", "slot")
 
 
 def dealt(groups: dict[int, int], total: int, shards: int) -> tuple[dict[int, int], list[float]]:
