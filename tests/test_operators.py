@@ -115,3 +115,31 @@ def test_snapshot(spark, tmp_path):
     made = cases.snapshot({"x": df, "y": df.where("id > 9")}, str(tmp_path / "s"))
     assert {(r.name, r.rows) for r in made.collect()} == {("x", 5), ("y", 0)}
     assert {r.id for r in cases.replace_keys(df, spark.range(3, 8), "id").collect()} == set(range(8))
+
+
+def test_log_lines_are_the_same_at_every_number_of_strings(spark):
+    from tidemark.operators.reading import loggable
+
+    lines = spark.createDataFrame([(k, t) for k, t in enumerate(["plan x now", "quiet", "", "a", "the Theme", "see \\E marks", "it", "NAMES here", "x"])], "k int, t string")
+    for strings in (["x"], ["theme", "it"], ["\\e", "names"], ["a", "qui", "zz"], ["", "plan x"]):
+        bad = spark.createDataFrame([(s,) for s in strings], "s string")
+        left = lambda most: sorted(r.k for r in loggable(lines, "t", bad, "s", most=most).collect())  # noqa: B023, E731
+        want = [k for k, t in ((r.k, r.t.lower()) for r in lines.collect()) if not any(s and s in t for s in strings)]
+        assert left(1_000) == left(0) == want
+
+
+def test_chains_of_merges_end_after_ten_items(spark):
+    from tidemark.operators import actions
+
+    rows = [(k, k - 1 if k else None) for k in range(14)] + [(50, 51), (51, 50), (60, 61), (70, 70)]
+    live = {r["item"]: r.live for r in actions.survivors(spark.createDataFrame(rows, "item long, merged_into long")).collect()}
+    assert live == {k: 0 if k < 10 else None for k in range(14)} | {50: None, 51: None, 60: None, 70: None}
+
+
+def test_outcomes_of_jobs(spark):
+    from tidemark.operators import jobs
+
+    table = spark.createDataFrame([(1, "running", 5, 0), (2, "running", 5, 1), (3, "running", 5, 2), (4, "running", 5, 1), (5, "running", 5, 2), (6, "waiting", 5, 0)], "job int, state string, not_before long, attempts int")
+    told = spark.createDataFrame([(1, "transient", 100), (2, "transient", 100), (3, "transient", 100), (4, "permanent", 100), (5, "unavailable", 100), (6, "success", 100)], "job int, outcome string, at long")
+    out = {r.job: (r.state, r.not_before, r.attempts) for r in jobs.after_run(table, told).collect()}
+    assert out == {1: ("waiting", 110, 1), 2: ("waiting", 160, 2), 3: ("failed", 5, 3), 4: ("failed", 5, 1), 5: ("waiting", None, 2), 6: ("waiting", 5, 0)}

@@ -63,15 +63,26 @@ def undo_target(log: DataFrame) -> DataFrame:
     return effective(log).where("by_user").groupBy().agg(F.max(F.struct("op", "kind")).alias("x")).where("x is not null").select("x.*")
 
 
-def survivors(states: DataFrame, rounds: int = 10) -> DataFrame:
-    """(item, live): the item at the end of a chain of merges, of at most ``rounds`` links."""
-    chain = states.select("item", F.coalesce("merged_into", "item").alias("live"))
-    step = states.where(F.col("merged_into").isNotNull()).select(F.col("item").alias("live"), F.col("merged_into").alias("next"))
-    for _ in range(max(1, rounds.bit_length())):  # chains double in reach each round
-        chain = chain.join(step, "live", "left").select("item", F.coalesce("next", "live").alias("live"))
-        longer = chain.select(F.col("item").alias("live"), F.col("live").alias("next"))
-        step = longer.where("live <> next")
-    return chain
+#: Rows of a chain of merges that are read before it is given up.
+MOST_LINKS = 10
+
+
+def survivors(states: DataFrame, most: int = MOST_LINKS) -> DataFrame:
+    """(item, live): the item at the end of an item's chain of merges, itself if it is not merged.
+
+    Null where the chain has over ``most`` items (a circle has no end) or leads to an item that is gone. Pointers are
+    composed, so a chain of ten takes four joins, all on one key.
+    """
+    hop = states.select("item", F.coalesce("merged_into", "item").alias("next"))
+    at, reach, hops = states.select("item", F.col("item").alias("live")), hop, most - 1
+    while hops:
+        if hops & 1:
+            at = at.join(reach.select(F.col("item").alias("live"), "next"), "live", "left").select("item", F.col("next").alias("live"))
+        hops >>= 1
+        if hops:
+            reach = reach.join(reach.select(F.col("item").alias("next"), F.col("next").alias("_far")), "next", "left").select("item", F.col("_far").alias("next"))
+    ends = states.where(F.col("merged_into").isNull()).select(F.col("item").alias("live"), F.lit(True).alias("_ends"))
+    return at.join(ends, "live", "left").select("item", F.when(F.col("_ends"), F.col("live")).alias("live"))
 
 
 def may(selected: DataFrame, key: str) -> DataFrame:

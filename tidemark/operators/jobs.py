@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Attempts before a job fails for good, and seconds to wait after each failure.
-MOST_ATTEMPTS, WAITS = 3, (30, 120, 600)
+from ..streaming.notices import MOST_ATTEMPTS, WAITS
+
+#: Seconds to wait after each failed attempt; the last one repeats.
+WAIT_SECONDS = tuple(w // 1_000_000 for w in WAITS)
 
 
 def next_wake(jobs: DataFrame, now: int) -> DataFrame:
@@ -25,14 +27,22 @@ def recovered(jobs: DataFrame) -> DataFrame:
 
 
 def after_run(jobs: DataFrame, results: DataFrame) -> DataFrame:
-    """After running jobs reported (job, ok, at): finished, waiting with a delay, or failed at the last attempt."""
-    told = jobs.join(results.select("job", "ok", "at"), "job", "left")
-    tried = F.col("attempts") + F.when((F.col("state") == "running") & F.col("ok").isNotNull(), 1).otherwise(0)
-    ran = (F.col("state") == "running") & F.col("ok").isNotNull()
-    wait = F.element_at(F.array(*map(F.lit, WAITS)), F.least(F.greatest(tried, F.lit(1)), F.lit(len(WAITS))).cast("int"))
-    state = F.when(ran & F.col("ok"), "finished").when(ran & (tried >= MOST_ATTEMPTS), "failed").when(ran, "waiting").otherwise(F.col("state"))
-    later = F.when(ran & ~F.col("ok") & (tried < MOST_ATTEMPTS), F.col("at") + wait).otherwise(F.col("not_before"))
-    return told.withColumn("_state", state).withColumn("not_before", later).withColumn("attempts", tried).withColumn("state", F.col("_state")).select(*jobs.columns)
+    """After running jobs reported (job, outcome, at).
+
+    ``success`` finishes a job; ``transient`` counts an attempt and waits, or fails at the last one; ``permanent`` fails at
+    once; ``unavailable`` (the server was down) waits without a time, its attempts as they were. Reports of jobs that
+    do not run, and other outcomes, change nothing.
+    """
+    told = jobs.join(results.select("job", F.col("outcome").alias("_outcome"), F.col("at").alias("_at")), "job", "left")
+    said = F.when(F.col("state") == "running", F.col("_outcome"))
+    failed = F.col("attempts") + 1
+    wait = F.element_at(F.array(*map(F.lit, WAIT_SECONDS)), F.least(failed, F.lit(len(WAIT_SECONDS))).cast("int"))
+    over = (said == "permanent") | ((said == "transient") & (failed >= MOST_ATTEMPTS))
+    state = F.when(said == "success", "finished").when(over, "failed").when(said.isin("transient", "unavailable"), "waiting").otherwise(F.col("state"))
+    later = F.when((said == "transient") & ~over, F.col("_at") + wait).when(said == "unavailable", None).otherwise(F.col("not_before"))
+    tried = F.when(said == "transient", failed).otherwise(F.col("attempts"))
+    changed = {"state": state, "not_before": later, "attempts": tried}
+    return told.select(*[changed[c].cast(jobs.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in jobs.columns])
 
 
 def retried(jobs: DataFrame) -> DataFrame:

@@ -181,23 +181,32 @@ def is_system(app: Column, bundle: Column, own: str | None = None) -> Column:
     return F.coalesce(F.lower(app).isin(*names), F.lit(False)) | F.coalesce(F.lower(bundle).isin(*bundles), F.lit(False))
 
 
-def loggable(lines: DataFrame, text: str, sensitive: DataFrame, string: str, words: int = 12, most: int = 10_000) -> DataFrame:
+#: Letters that a sensitive string is looked up by.
+KEYED = 4
+
+
+def loggable(lines: DataFrame, text: str, sensitive: DataFrame, string: str, words: int = 12, most: int = 1_000) -> DataFrame:
     """Lines of at most ``words`` words that hold no sensitive string, whatever its case.
 
-    Up to ``most`` strings become one pattern, so lines are read once and stay where they are; beyond that lines meet
-    the strings by the pairs of letters that these begin with.
+    Up to ``most`` strings become one pattern, so lines are read once and stay where they are. More of them meet the distinct
+    lines by their first ``KEYED`` letters (all, if they have fewer): the same lines are left at every size.
     """
     short = lines.where(F.size(F.split(text, " ")) <= words)
     strings = sensitive.select(F.lower(string).alias("s")).where(F.length("s") > 0).distinct()
     few = [r["s"] for r in strings.limit(most + 1).collect()]
     if len(few) <= most:
         return short.where(~F.lower(text).rlike("|".join(map(_literal, sorted(few))))) if few else short
-    keyed = strings.withColumn("_g", F.substring("s", 1, 2))
+    keyed = strings.withColumn("_g", F.substring("s", 1, KEYED))
     low = short.select(F.lower(text).alias("_low")).distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_low") - 1)), lambda k: F.substring("_low", k, 2)))
-    bad = low.select("_low", F.explode(grams).alias("_g")).join(keyed, "_g").where(F.col("_low").contains(F.col("s"))).select("_low").distinct()
+    bad = low.select("_low", F.explode(F.array_distinct(F.concat(*[_grams("_low", n) for n in range(1, KEYED + 1)]))).alias("_g"))
+    bad = bad.join(keyed, "_g").where(F.col("_low").contains(F.col("s"))).select("_low").distinct()
     return short.withColumn("_low", F.lower(text)).join(bad, "_low", "left_anti").drop("_low")
 
 
+def _grams(text: str, n: int) -> Column:
+    """Every run of n letters."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda k: F.substring(text, k, n))
+
+
 def _literal(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"

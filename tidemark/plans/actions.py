@@ -67,13 +67,14 @@ def undo_target(spark, sf):
 
 
 @query("""
-WITH RECURSIVE s AS (SELECT p_partkey AS item, CASE WHEN p_partkey % 8 > 0 THEN p_partkey - 1 END AS merged_into FROM part),
-c AS (SELECT item, item AS live, 0 AS n FROM s UNION ALL SELECT c.item, s.merged_into, n + 1 FROM c JOIN s ON s.item = c.live WHERE s.merged_into IS NOT NULL AND n < 20)
-SELECT item, max_by(live, n) AS live FROM c GROUP BY 1""")
+WITH RECURSIVE s AS (SELECT p_partkey AS item, CASE WHEN p_partkey % 40 = 13 THEN p_partkey + 5 WHEN p_partkey % 40 > 0 AND p_partkey % 40 <> 24 THEN p_partkey - 1 WHEN p_partkey % 400 = 0 THEN -p_partkey - 1 END AS merged_into FROM part),
+c AS (SELECT item, item AS at_, 1 AS n FROM s UNION ALL SELECT c.item, s.merged_into, n + 1 FROM c JOIN s ON s.item = c.at_ WHERE s.merged_into IS NOT NULL AND n < 10)
+SELECT s.item, max(e.item) AS live FROM s LEFT JOIN c ON c.item = s.item LEFT JOIN s e ON e.item = c.at_ AND e.merged_into IS NULL GROUP BY 1""")
 def merge_survivors(spark, sf):
-    """Items at the ends of chains of merges."""
+    """Items at the ends of chains of merges; chains here are long, end in a circle, or lead to an item that is gone."""
     key = F.col("p_partkey")
-    return A.survivors(table(spark, sf, "part").select(key.alias("item"), F.when(key % 8 > 0, key - 1).alias("merged_into")))
+    to = F.when(key % 40 == 13, key + 5).when((key % 40 > 0) & (key % 40 != 24), key - 1).when(key % 400 == 0, -key - 1)
+    return A.survivors(table(spark, sf, "part").select(key.alias("item"), to.alias("merged_into")))
 
 
 @query("""
@@ -145,14 +146,15 @@ def crash_recovery(spark, sf):
 
 
 @query(f"""
-WITH {JOBS}, r AS (SELECT *, job % 7 > 2 AS ok, job * 3 AS t, state = 'running' AND job % 2 = 0 AS ran FROM jobs),
-a AS (SELECT *, attempts + ran::INT AS tried FROM r)
-SELECT job, image, kind, CASE WHEN NOT ran THEN state WHEN ok THEN 'finished' WHEN tried >= 3 THEN 'failed' ELSE 'waiting' END AS state,
- CASE WHEN ran AND NOT ok AND tried < 3 THEN t + [30, 120, 600][greatest(tried, 1)] ELSE not_before END AS not_before, tried AS attempts FROM a""")
+WITH {JOBS}, r AS (SELECT *, CASE WHEN state = 'running' AND job % 2 = 0 THEN ['success', 'transient', 'transient', 'permanent', 'unavailable', 'transient', 'success'][job % 7 + 1] END AS said, job * 3 AS t FROM jobs)
+SELECT job, image, kind, CASE WHEN said = 'success' THEN 'finished' WHEN said = 'permanent' OR (said = 'transient' AND attempts + 1 >= 3) THEN 'failed' WHEN said IS NOT NULL THEN 'waiting' ELSE state END AS state,
+ CASE WHEN said = 'transient' AND attempts + 1 < 3 THEN t + CASE WHEN attempts + 1 = 1 THEN 10 ELSE 60 END WHEN said = 'unavailable' THEN NULL ELSE not_before END AS not_before,
+ attempts + (coalesce(said, '') = 'transient')::INT AS attempts FROM r""")
 def job_transitions(spark, sf):
-    """Jobs after some running ones reported: finished, failed for good, or waiting for a time."""
+    """Jobs after some running ones reported: finished, failed for good, waiting for a time, or for the server."""
     jobs = jobs_of(spark, sf)
-    return J.after_run(jobs, jobs.where("job % 2 = 0").select("job", (F.col("job") % 7 > 2).alias("ok"), (F.col("job") * 3).alias("at")))
+    outcomes = F.array(*[F.lit(x) for x in ("success", "transient", "transient", "permanent", "unavailable", "transient", "success")])
+    return J.after_run(jobs, jobs.where("job % 2 = 0").select("job", F.get(outcomes, (F.col("job") % 7).cast("int")).alias("outcome"), (F.col("job") * 3).alias("at")))
 
 
 @query(f"WITH {JOBS} SELECT job, image, kind, CASE WHEN state = 'failed' THEN 'waiting' ELSE state END AS state, CASE WHEN state <> 'failed' THEN not_before END AS not_before, CASE WHEN state = 'failed' THEN 0 ELSE attempts END AS attempts FROM jobs WHERE state <> 'finished'")

@@ -43,6 +43,18 @@ def log_sanitiser(spark, sf):
     return loggable(lines.withColumn("n", F.col("n") + 1), "line", bad, "x").select("doc_id", "n")
 
 
+@query("""
+WITH w AS (SELECT w, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY 1), s AS (SELECT DISTINCT lower(w) AS x FROM w WHERE n = 1),
+l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INT AS n, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, n FROM l WHERE len(string_split(line, ' ')) <= 12 AND NOT EXISTS (SELECT 1 FROM s WHERE contains(lower(line), s.x))""")
+def log_sanitiser_words(spark, sf):
+    """The same for strings that grow with the corpus: the words of single documents."""
+    docs = table(spark, sf, "documents")
+    words = docs.select("doc_id", F.explode(F.split("text", " ")).alias("w")).where("w <> ''").groupBy("w").agg(F.count_distinct("doc_id").alias("n"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return loggable(lines.withColumn("n", F.col("n") + 1), "line", words.where("n = 1"), "w").select("doc_id", "n")
+
+
 @query("""
 SELECT l_orderkey AS capture, min_by(l_linenumber, (l_suppkey, l_linenumber))::BIGINT AS "window" FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 4 GROUP BY 1""")
 def active_window(spark, sf):

@@ -15,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Fixed values, in microseconds: quiet time and ceiling of a notice, the leading debounce, waits between attempts.
 QUIET, CEILING, DEBOUNCE, WAITS = 20_000_000, 120_000_000, 300_000, (10_000_000, 60_000_000)
+#: Attempts before a job fails for good.
+MOST_ATTEMPTS = 3
 
 
 def accept(times: list[int], last: int | None, least: int) -> tuple[list[bool], int | None]:
