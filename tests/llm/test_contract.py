@@ -93,7 +93,7 @@ def plain_model(counts):
 
     n, kinds, total = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0, 0]), defaultdict(lambda: [0, 0])
     for w, pair in counts.items():
-        for step in steps(w):
+        for step in steps(w) if sum(pair) >= toxicity.LEAST_DOCUMENTS else ():
             for c in (0, 1):
                 n[step][c] += pair[c]
     for step, pair in n.items():
@@ -120,7 +120,7 @@ def plain_model(counts):
 def made_counts():
     rnd = random.Random(4)
     counts = {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 14))): [rnd.randint(0, 400), rnd.randint(0, 400)] for _ in range(60)}
-    return counts | {"extremelyvicious": [300, 0], "extremelyhelpful": [0, 300]}
+    return counts | {"extremelyvicious": [300, 0], "extremelyhelpful": [0, 300], "bababab": [1, 0]}
 
 
 def test_op4_model_is_its_definition(spark):

@@ -4,7 +4,8 @@ Both models spell words: each letter of a word, and its end, follows from the ``
 included. Counts are of documents: a word counts once in each labelled document of a class that holds it. As in
 Kneser-Ney smoothing every count is discounted and the rest of the mass backs off. Both classes back off to one
 distribution, that of their pooled counts after the same letters, which also gets ``SHARED`` counts of its own in each class:
-rare expressions cannot tell the classes apart, common ones only as far as the classes' counts do.
+rare expressions cannot tell the classes apart, common ones only as far as the classes' counts do, and words of a single
+labelled document teach nothing.
 
 Each word of a document is one event; its evidence is the difference of the two log-likelihoods of its letters. A run of
 more than ``PIECE`` letters (scripts without blanks) is as many events as it has pieces, each with the letters before it
@@ -43,6 +44,8 @@ from .common import settled
 
 #: Letters before a letter that it follows from, discount, and counts that each class shares with the other.
 ORDER, DISCOUNT, SHARED = 9, 0.75, 100.0
+#: Labelled documents that a word has to be in to teach anything.
+LEAST_DOCUMENTS = 2
 #: Share of a document's events that decide, least evidence of a step that counts, letters of an event at most.
 TOP, LEAST, PIECE = 0.02, 0.1, 40
 #: Steps that are sent to tasks at most; more are joined.
@@ -115,8 +118,8 @@ def _unseen(t: str, n: str) -> Column:
 
 def spelling_steps(words: DataFrame) -> DataFrame:
     """(step, known, unknown): a letter's evidence after those before it, and that of a letter never met after these. Telling ones only."""
-    steps = words.select(F.explode(_grams(F.col("word"))).alias("step"), "t", "o")
-    steps = steps.groupBy("step").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).withColumn("after", F.expr("substring(step, 1, length(step) - 1)"))
+    steps = words.where(F.col("t") + F.col("o") >= LEAST_DOCUMENTS).select(F.explode(_grams(F.col("word"))).alias("step"), "t", "o")
+    steps = settled(steps.groupBy("step").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))).withColumn("after", F.expr("substring(step, 1, length(step) - 1)"))
     some = lambda c: F.count(F.when(F.col(c) > 0, 1))
     after = steps.groupBy(F.col("after").alias("step")).agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), some("t").alias("kt"), some("o").alias("ko"), F.count("*").alias("k"))
     after = after.withColumn("unknown", F.log(_unseen("kt", "nt")) - F.log(_unseen("ko", "no")))
