@@ -6,9 +6,13 @@ Labels are missing and jitter, other windows show numbers, titles stand above th
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..operators import grids as G
+from ..operators import headers as H
 from ..sources.tables import table
 from .registry import query
 
@@ -33,11 +37,17 @@ SELECT image, n, text, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(CASE
     220 + floor(l_partkey % 42 / 7) * 80 + l_linenumber % 3 * 12, 26, 10 FROM (SELECT l_suppkey, l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem WHERE l_orderkey % 50 = 5 GROUP BY l_suppkey, l_orderkey, l_linenumber) e50) made"""
 
 
+#: Names of weekdays and months in both dialects: Spark's and the checking engine's.
+NAMES = {
+    "FROM_MONDAY": ("weekday({})", "(isodow({}) - 1)"), "MON": ("date_format({}, 'MMM')", "strftime({}, '%b')"), "MONTH_NAME": ("date_format({}, 'MMMM')", "strftime({}, '%B')"),
+    "DAY_NAME": ("date_format({}, 'EEEE')", "strftime({}, '%A')"),
+}
+
+
 def spoken(sql: str, spark: bool) -> str:
     """The common text in one of the dialects."""
-    day = {True: ("weekday({})", "date_format({}, 'MMM')", "date_format({}, 'MMMM')"), False: ("(isodow({}) - 1)", "strftime({}, '%b')", "strftime({}, '%B')")}[spark]
-    for word, (name, form) in zip(("FROM_MONDAY", "MON", "MONTH_NAME"), zip(("p.first", "d", "first"), day, strict=True), strict=True):
-        sql = sql.replace(f"{word}({name})", form.format(name))
+    for word, forms in NAMES.items():
+        sql = re.sub(rf"\b{word}\(([\w.]+)\)", lambda m, form=forms[not spark]: form.format(m[1]), sql)
     return sql if spark else sql.replace("STRING", "VARCHAR")
 
 
@@ -116,3 +126,65 @@ def month_entries(spark, sf):
     lines = _lines(spark, sf)
     found = G.month_entries(lines, G.month_cells(lines, _pictures(spark, sf)))
     return found.withColumn("day", F.col("day").cast("string"))
+
+
+#: Week views: names and numbers on one line or two, in two languages, with and without the month; columns are missing.
+WEEKS = f"""
+SELECT image, n, text, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(8 * length(text) AS BIGINT) AS w, CAST(14 AS BIGINT) AS h FROM (
+  SELECT image, CAST(2 * k + 1 AS BIGINT) AS n, CASE WHEN image % 5 = 1 THEN substring(DAY_NAME(d), 1, 3)
+      WHEN image % 5 = 2 AND k % 3 = 0 THEN concat(DAY_NAME(d), ', ', MONTH_NAME(d), ' ', CAST(day(d) AS STRING), ', ', CAST(year(d) AS STRING))
+      WHEN image % 5 = 3 THEN concat(CASE k WHEN 0 THEN 'lun' WHEN 1 THEN 'mar' WHEN 2 THEN 'mié' WHEN 3 THEN 'jue' WHEN 4 THEN 'vie' WHEN 5 THEN 'sáb' ELSE 'dom' END, ' ', CAST(day(d) AS STRING))
+      WHEN image % 5 = 4 AND k = 3 THEN concat('Thu ', CAST(day(d) AS STRING), ' ', MONTH_NAME(d))
+      ELSE concat(substring(DAY_NAME(d), 1, 3), ' ', CAST(day(d) AS STRING)) END AS text, 120 + k * 110 + o % 5 AS x, 60 + o % 2 AS y, d, k, o
+  FROM (WEEK) q
+  UNION ALL SELECT image, CAST(2 * k + 2 AS BIGINT), CAST(day(d) AS STRING), 122 + k * 110 + o % 3, 82, d, k, o FROM (WEEK) q WHERE image % 5 = 1
+  UNION ALL SELECT image, 900, concat(MONTH_NAME(first), ' ', CAST(year(first) AS STRING)), 300, 10, first, 0, 0 FROM ({PICTURES}) p WHERE image % 5 < 2 AND image % 2 = 0
+  UNION ALL SELECT image, 901, CASE WHEN month(first) < 7 THEN 'December' ELSE 'February' END, 300, 10, first, 0, 0 FROM ({PICTURES}) p WHERE image % 5 = 4
+  UNION ALL SELECT l_suppkey, 1000 + max(l_linenumber) + 8 * l_orderkey, 'Visit plant', 104 + min(l_partkey) % 800, 300, DATE '2000-01-01', 0, 0 FROM lineitem WHERE l_orderkey % 75 = 5 GROUP BY l_suppkey, l_orderkey) made""".replace("WEEK", f"""
+    SELECT l.image, l.k, l.o, s.d0 - CAST(FROM_MONDAY(s.d0) AS INT) + l.k AS d FROM (SELECT l_suppkey AS image, CAST(l_partkey % 7 AS INT) AS k, min(l_orderkey) AS o FROM lineitem WHERE l_orderkey % 150 < 2 GROUP BY l_suppkey, CAST(l_partkey % 7 AS INT)) l
+    JOIN (SELECT image, first + CAST(image * 5 % 20 AS INT) AS d0 FROM ({PICTURES}) p) s ON s.image = l.image""")
+
+
+def _week_lines(spark, sf):
+    made = spark.sql(spoken(WEEKS, True).replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf, "lineitem"))
+    return dates.parse(made)
+
+
+MONTH_NAMES = "['january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december']"
+#: Headers of the week views: words by position in lists of names, pairs of lines by nearest boxes, dates from the months named, gaps filled by lead.
+HEADERS = rf"""lines AS ({spoken(WEEKS, False)}), pics AS ({PICTURES}),
+p AS (SELECT *, x + w / 2 AS mx, y + h / 2 AS my, coalesce(nullif(list_position(['mon', 'tue', 'wed', 'thu', 'fri', 'sat', 'sun'], lower(text[1:3])), 0), nullif(list_position(['lun', 'mar', 'mié', 'jue', 'vie', 'sáb', 'dom'], lower(text[1:3])), 0)) AS wd,
+  nullif(regexp_extract(text, '(?:^|[^0-9])([0-9]{{1,2}})(?:[^0-9]|$)', 1), '')::INT AS num, nullif(regexp_extract(text, '((?:19|20)[0-9]{{2}})', 1), '')::INT AS yr, list_max(list_transform(range(1, 13), lambda k: CASE WHEN contains(lower(text), {MONTH_NAMES}[k]) THEN k END)) AS mo FROM lines),
+said AS (SELECT image, arg_min(mo, n) AS mo, arg_min(coalesce(yr, 0), n) AS yr FROM p WHERE mo IS NOT NULL AND wd IS NULL OR n IN (900, 901) GROUP BY 1),
+pairs AS (SELECT a.image, a.n, a.num, arg_min((b.wd, (least(a.x, b.x) + greatest(a.x + a.w, b.x + b.w)) / 2, (least(a.y, b.y) + greatest(a.y + a.h, b.y + b.h)) / 2), (abs(a.my - b.my), b.n)) AS q
+  FROM p a JOIN p b ON b.image = a.image AND a.wd IS NULL AND regexp_full_match(a.text, '[0-9]+') AND b.wd IS NOT NULL AND b.num IS NULL AND abs(a.x - b.x) <= 0.75 * greatest(a.w, b.w) AND abs(a.my - b.my) <= 2.5 * greatest(a.h, b.h) AND a.my <> b.my GROUP BY 1, 2, 3),
+heads AS (SELECT image, n, mx, my, wd, num, mo, yr, 0 AS late FROM p WHERE wd IS NOT NULL AND num IS NOT NULL AND n < 900 UNION ALL SELECT image, n, q[2], q[3], q[1], num, NULL, NULL, 1 FROM pairs),
+months AS (SELECT image, list_concat(list(mo) FILTER (src = 0), list(mo) FILTER (src = 1)) AS m, arg_min(mo, (src, late, n)) AS mo, arg_min(yr, (src, late, n)) AS yr FROM (SELECT image, mo, yr, 0 AS src, 0 AS late, 0 AS n FROM said UNION ALL SELECT image, mo, coalesce(yr, 0), 1, late, n FROM heads WHERE mo IS NOT NULL) GROUP BY 1),
+ctx AS (SELECT h.*, (first + 14)::DATE AS today, m.mo AS hm, nullif(m.yr, 0) AS hy, len(list_filter(coalesce(m.m, []), lambda a: len(list_filter(m.m, lambda b: least(abs(a - b), 12 - abs(a - b)) > 1)) > 0)) > 0 AS conflict FROM heads h JOIN pics ON pics.image = h.image LEFT JOIN months m ON m.image = h.image),
+opt AS (SELECT c.image, c.n, c.late, 0 AS rank, 0 AS pos, make_date(yr, mo, num) AS d FROM ctx c WHERE mo IS NOT NULL AND yr IS NOT NULL
+  UNION ALL SELECT c.image, c.n, c.late, (isodow(d) <> wd)::INT, abs(d - today), d FROM (SELECT c.*, unnest([try_cast((year(today) + 0) || '-' || mo || '-' || num AS DATE), try_cast((year(today) - 1) || '-' || mo || '-' || num AS DATE), try_cast((year(today) + 1) || '-' || mo || '-' || num AS DATE)]) AS d FROM ctx c WHERE mo IS NOT NULL AND yr IS NULL) c WHERE d IS NOT NULL
+  UNION ALL SELECT c.image, c.n, c.late, 0, s, d FROM (SELECT c.*, s, m, CASE WHEN num <= day(last_day(m)) THEN (m + num - 1)::DATE END AS d FROM (SELECT c.*, unnest([0, 1, 2]) AS s, unnest([f, (f - INTERVAL 1 MONTH)::DATE, (f + INTERVAL 1 MONTH)::DATE]) AS m FROM (
+    SELECT c.*, make_date(coalesce(hy, (SELECT year(arg_min(o, (isodow(o) <> wd, abs(o - today), o))) FROM (SELECT unnest([try_cast((year(today) - 1) || '-' || hm || '-' || num AS DATE), try_cast(year(today) || '-' || hm || '-' || num AS DATE), try_cast((year(today) + 1) || '-' || hm || '-' || num AS DATE)]) AS o) WHERE o IS NOT NULL), year(today))::INT, hm::INT, 1) AS f
+    FROM ctx c WHERE mo IS NULL AND hm IS NOT NULL) c) c) c WHERE d IS NOT NULL AND isodow(d) = wd),
+best AS (SELECT image, n, late, arg_min(d, (rank, pos, d)) AS d FROM opt GROUP BY 1, 2, 3),
+near AS (SELECT c.image, c.n, c.late, arg_min(d, (abs(d - today), d)) AS d FROM ctx c JOIN (SELECT (DATE '2022-01-01' + k::INT)::DATE AS d FROM range(2000) r(k)) k ON isodow(k.d) = c.wd AND day(k.d) = c.num AND abs(k.d - today) <= 183 GROUP BY 1, 2, 3),
+dated AS (SELECT c.image, c.n, c.mx, c.my, c.late, c.conflict, coalesce(best.d, near.d) AS d, best.d IS NULL AS assumed FROM ctx c LEFT JOIN best ON best.image = c.image AND best.n = c.n AND best.late = c.late LEFT JOIN near ON near.image = c.image AND near.n = c.n AND near.late = c.late WHERE coalesce(best.d, near.d) IS NOT NULL),
+gaps AS (SELECT *, lead(d) OVER w - d AS gap, lead(mx) OVER w - mx AS dx, count(*) OVER (PARTITION BY image) AS total FROM dated WINDOW w AS (PARTITION BY image ORDER BY mx, late, n)),
+headers AS (SELECT image, n AS line, mx, my, d, assumed, conflict FROM gaps UNION ALL SELECT image, 0, mx + dx * k / gap, my, (d + k)::DATE, assumed, conflict FROM (SELECT *, unnest(range(1, gap))::INT AS k FROM gaps WHERE total >= 3 AND gap BETWEEN 2 AND 6))"""
+
+
+@query(f"WITH {HEADERS} SELECT image, line, mx::DOUBLE AS mid_x, my::DOUBLE AS mid_y, d::VARCHAR AS day, assumed, conflict FROM headers")
+def week_headers(spark, sf):
+    """The headers of week views with their days; missed columns get theirs from their neighbours."""
+    found = H.week_headers(_week_lines(spark, sf), _pictures(spark, sf))
+    return found.select("image", F.col("line").cast("long").alias("line"), "mid_x", "mid_y", F.col("day").cast("string").alias("day"), "assumed", "conflict")
+
+
+@query(f"""WITH {HEADERS}
+SELECT p.image, p.n, arg_min(h.line, (abs(h.mx - p.mx), h.mx, -h.line))::BIGINT AS header, arg_min(h.d, (abs(h.mx - p.mx), h.mx, -h.line))::VARCHAR AS day FROM p JOIN headers h ON h.image = p.image WHERE p.n >= 1000 GROUP BY 1, 2""")
+def nearest_headers(spark, sf):
+    """The header that each entry of a week view stands under."""
+    lines = _week_lines(spark, sf)
+    entries = lines.where("n >= 1000").select("image", "n", (F.col("x") + F.col("w") / 2).alias("mx"))
+    found = H.nearest_header(entries, H.week_headers(lines, _pictures(spark, sf)))
+    return found.where("header is not null").select("image", "n", F.col("header").cast("long").alias("header"), F.col("day").cast("string").alias("day"))
