@@ -11,6 +11,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..operators import clocks
 from ..operators import grids as G
 from ..operators import headers as H
 from ..sources.tables import table
@@ -40,7 +41,9 @@ SELECT image, n, text, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST(CASE
 #: Names of weekdays and months in both dialects: Spark's and the checking engine's.
 NAMES = {
     "FROM_MONDAY": ("weekday({})", "(isodow({}) - 1)"), "MON": ("date_format({}, 'MMM')", "strftime({}, '%b')"), "MONTH_NAME": ("date_format({}, 'MMMM')", "strftime({}, '%B')"),
-    "DAY_NAME": ("date_format({}, 'EEEE')", "strftime({}, '%A')"),
+    "DAY_NAME": ("date_format({}, 'EEEE')", "strftime({}, '%A')"), "HOURS": ("date_format({}, 'HH:mm')", "strftime({}, '%H:%M')"),
+    "LONG_CLOCK": ("date_format({}, 'EEE d MMM HH:mm')", "strftime({}, '%a %-d %b %H:%M')"), "WEEK_CLOCK": ("date_format({}, 'EEE d HH:mm')", "strftime({}, '%a %-d %H:%M')"),
+    "YEAR_CLOCK": ("date_format({}, 'yyyy-MM-dd HH:mm')", "strftime({}, '%Y-%m-%d %H:%M')"),
 }
 
 
@@ -48,6 +51,8 @@ def spoken(sql: str, spark: bool) -> str:
     """The common text in one of the dialects."""
     for word, forms in NAMES.items():
         sql = re.sub(rf"\b{word}\(([\w.]+)\)", lambda m, form=forms[not spark]: form.format(m[1]), sql)
+    minutes = r"timestampadd(MINUTE, CAST(\2 AS INT), \1)" if spark else r"(\1 + to_minutes(CAST(\2 AS BIGINT)))"
+    sql = re.sub(r"\bLATER\(([\w.]+), ([^()]+)\)", minutes, sql)
     return sql if spark else sql.replace("STRING", "VARCHAR")
 
 
@@ -188,3 +193,37 @@ def nearest_headers(spark, sf):
     entries = lines.where("n >= 1000").select("image", "n", (F.col("x") + F.col("w") / 2).alias("mx"))
     found = H.nearest_header(entries, H.week_headers(lines, _pictures(spark, sf)))
     return found.where("header is not null").select("image", "n", F.col("header").cast("long").alias("header"), F.col("day").cast("string").alias("day"))
+
+
+#: Orders are screens, their lines windows. Clocks are near, far, of other days, without a month, wrong, or missing.
+SHOTS = """SELECT o_orderkey AS shot, LATER(o_orderdate, o_orderkey % 1440) AS captured, o_orderkey % 7 > 0 AS per_window, o_orderkey % 11 = 0 AS window_only FROM orders"""
+WINDOWS = f"""SELECT s.shot, l.win AS window_, l.win % 2 = 0 AS remote, 40 * l.win AS y, 200 + 10 * l.q AS h, s.captured, 1000 AS picture_height, s.per_window, s.window_only
+  FROM ({SHOTS}) s JOIN (SELECT l_orderkey, CAST(l_linenumber AS INT) AS win, max(CAST(l_quantity AS INT)) AS q FROM lineitem GROUP BY l_orderkey, CAST(l_linenumber AS INT)) l ON l.l_orderkey = s.shot"""
+CLOCKS = f"""
+SELECT shot, CASE WHEN per_window THEN CAST(NULL AS INT) ELSE 1 END AS window_, CASE shot % 6 WHEN 0 THEN LONG_CLOCK(soon) WHEN 1 THEN HOURS(soon) WHEN 2 THEN WEEK_CLOCK(soon) WHEN 3 THEN LONG_CLOCK(late)
+    WHEN 4 THEN 'Files' ELSE YEAR_CLOCK(soon) END AS text, 900 AS x, CASE WHEN shot % 8 = 7 THEN 60 ELSE 5 END AS y, 80 AS w, 14 AS h
+  FROM (SELECT *, LATER(captured, shot % 5 * 60) AS soon, LATER(captured, 57600 + shot % 100) AS late FROM ({SHOTS}) q) s
+UNION ALL SELECT shot, window_, CASE shot % 3 WHEN 0 THEN HOURS(soon) WHEN 1 THEN WEEK_CLOCK(late) ELSE concat('Sat ', CAST(1 + shot % 31 AS STRING), ' 10:15') END, 10, CASE WHEN shot % 5 = 0 THEN y + 100 ELSE y + h - 12 END, 60, 12
+  FROM (SELECT *, LATER(captured, 60) AS soon, LATER(captured, 4320) AS late FROM ({WINDOWS}) w) v WHERE shot % 4 > 0
+UNION ALL SELECT shot, window_, '10:00', 10, y + 100, 60, 12 FROM ({WINDOWS}) w"""
+
+
+@query(rf"""WITH shots AS ({spoken(SHOTS, False)}), wins AS ({spoken(WINDOWS, False)}), lines AS ({spoken(CLOCKS, False)}),
+strips AS (SELECT w.shot, w.window_, w.captured, 0 AS kind, l.text, l.x, l.y + l.h / 2 AS my FROM wins w JOIN lines l ON l.shot = w.shot AND l.window_ = w.window_ AND w.remote AND (l.y + l.h / 2 <= w.y + 0.06::DOUBLE * w.h OR l.y + l.h / 2 >= w.y + w.h - 0.06::DOUBLE * w.h)
+  UNION ALL SELECT w.shot, w.window_, w.captured, 1, l.text, l.x, l.y + l.h / 2 FROM wins w JOIN lines l ON l.shot = w.shot AND NOT w.window_only AND l.y + l.h / 2 <= 30 AND (l.window_ IS NULL) = w.per_window),
+parsed AS (SELECT *, captured::DATE AS today, regexp_extract(text, '([0-9]{{2}}):', 1) AS hh, regexp_extract(text, ':([0-9]{{2}})', 1) AS mm, nullif(regexp_extract(text, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}) ', 1), '') AS iso,
+  nullif(list_position(['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'], text[1:3]), 0) AS wd, nullif(regexp_extract(text, '^[A-Z][a-z]+ ([0-9]+) ', 1), '')::INT AS num,
+  nullif(list_position(['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'], regexp_extract(text, '^[A-Z][a-z]+ [0-9]+ ([A-Z][a-z]+)', 1)), 0) AS mo FROM strips WHERE contains(text, ':')),
+days AS (SELECT p.*, CASE WHEN iso IS NOT NULL THEN iso::DATE WHEN num IS NULL THEN today
+  WHEN mo IS NULL THEN list_filter(list_transform([date_trunc('month', today)::DATE, (date_trunc('month', today) - INTERVAL 1 MONTH)::DATE, (date_trunc('month', today) + INTERVAL 1 MONTH)::DATE], lambda m: CASE WHEN num <= day(last_day(m)) THEN m + num - 1 END), lambda d: isodow(d) = wd)[1]
+  ELSE list_sort(list_transform(list_filter(list_transform([0, -1, 1], lambda k: try_cast((year(today) + k) || '-' || mo || '-' || num AS DATE)), lambda d: d IS NOT NULL AND isodow(d) = wd), lambda d: {{'gap': abs(epoch(d + (hh || ':' || mm)::TIME) - epoch(captured)), 'd': d}}))[1].d END AS d FROM parsed p),
+clocks AS (SELECT shot, window_, kind, arg_min(d::DATE + (hh || ':' || mm)::TIME, (my, x, text)) AS t FROM days WHERE d IS NOT NULL GROUP BY 1, 2, 3),
+best AS (SELECT shot, window_, arg_min(t, kind) AS t, min(kind) AS kind FROM clocks GROUP BY 1, 2)
+SELECT w.shot, w.window_ AS "window", strftime(CASE WHEN t IS NULL OR abs(epoch(t) - epoch(w.captured)) > 86400 THEN w.captured ELSE t END, '%Y-%m-%d %H:%M:%S') AS instant,
+  CASE WHEN t IS NULL THEN 'capture' WHEN abs(epoch(t) - epoch(w.captured)) > 86400 THEN 'capture-far-clock' WHEN kind = 0 THEN 'window-clock' ELSE 'screen-clock' END AS source,
+  CASE WHEN t IS NULL THEN w.per_window AND NOT w.window_only ELSE abs(epoch(t) - epoch(w.captured)) > 86400 END AS guess FROM wins w LEFT JOIN best ON best.shot = w.shot AND best.window_ = w.window_""")
+def reference_clocks(spark, sf):
+    """The clock that each window's dates are relative to, and whether it is a guess."""
+    of = lambda sql: spark.sql(spoken(sql, True).replace("FROM lineitem", "FROM {lineitem}").replace("FROM orders", "FROM {orders}"), lineitem=table(spark, sf, "lineitem"), orders=table(spark, sf, "orders")).withColumnRenamed("window_", "window")
+    found = clocks.reference_clocks(dates.parse(of(CLOCKS)), of(WINDOWS))
+    return found.withColumn("instant", F.date_format("instant", "yyyy-MM-dd HH:mm:ss"))
