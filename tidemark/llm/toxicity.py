@@ -49,7 +49,7 @@ LEAST_DOCUMENTS = 2
 #: Share of a document's events that decide, least evidence of a step that counts, letters of an event at most.
 TOP, LEAST, PIECE = 0.02, 0.1, 40
 #: Steps that are sent to tasks at most; more are joined.
-SENT_STEPS = 600_000
+SENT_STEPS = 1_200_000
 #: Documents that the curve is fitted on at most, and the share of labelled documents if that is less.
 CURVE_ROWS, CURVE_SHARE, STEPS = 20_000, 0.25, 25
 #: Words kept for each worker.
