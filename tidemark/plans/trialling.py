@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.times import micros
+from ..operators import applying
 from ..operators import trials as T
 from ..sources.tables import table
 from .registry import query
@@ -87,3 +88,38 @@ def canonical_hash(spark, sf):
     part = F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus", F.floor(micros(F.col("o_orderdate")) / 1_000_000).cast("string"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("p")))), lambda x: x["p"])
     return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.sha2(F.array_join(rows, "|"), 256).alias("hash"))
+
+
+#: Order lines as a plan: every fourth joins an item, its neighbour's step, a new item, or one that may be a copy.
+PLAN = """(SELECT l_orderkey AS image, CAST(l_linenumber AS INT) AS step, l_orderkey * 8 + CAST(l_linenumber AS INT) AS finding, max(l_partkey) AS part, max(l_suppkey) AS supp, max(CAST(l_quantity AS INT)) AS q FROM lineitem GROUP BY l_orderkey, CAST(l_linenumber AS INT))"""
+TARGET = "CASE part % 4 WHEN 0 THEN 'existing' WHEN 1 THEN CASE WHEN step > 1 THEN 'same' ELSE 'new' END WHEN 2 THEN 'new' ELSE 'possible' END"
+
+
+def plan_of(spark, sf):
+    lines = spark.sql(f"SELECT *, {TARGET} AS target FROM {PLAN.replace('FROM lineitem', 'FROM {lineitem}')} p", lineitem=table(spark, sf, "lineitem"))
+    other = F.when(F.col("target") == "same", F.col("step") - 1).when(F.col("target") != "new", F.col("supp") % 60)
+    return lines.withColumn("other", other.cast("string")).withColumn("title", F.concat(F.lit("t"), (F.col("part") % 3).cast("string")))
+
+
+def merged_items(spark, sf):
+    key = F.col("p_partkey")
+    return table(spark, sf, "part").where((key < 60) & (key % 11 != 5)).select(key.alias("item"), F.when(key % 7 == 3, key - 1).alias("merged_into"))
+
+
+@query(f"""WITH RECURSIVE plan AS (SELECT *, {TARGET} AS target FROM {PLAN} p),
+items AS (SELECT p_partkey AS item, CASE WHEN p_partkey % 7 = 3 THEN p_partkey - 1 END AS merged_into FROM part WHERE p_partkey < 60 AND p_partkey % 11 <> 5),
+chain AS (SELECT item, item AS at_, 1 AS n FROM items UNION ALL SELECT c.item, i.merged_into, n + 1 FROM chain c JOIN items i ON i.item = c.at_ WHERE i.merged_into IS NOT NULL AND n < 10),
+live AS (SELECT c.item, c.at_ AS live FROM chain c JOIN items i ON i.item = c.at_ AND i.merged_into IS NULL),
+ends AS (SELECT p.finding, p.image, p.step AS at_ FROM plan p WHERE q % 3 = 0 UNION ALL SELECT e.finding, e.image, e.at_ - 1 FROM ends e JOIN plan p ON p.image = e.image AND p.step = e.at_ AND p.target = 'same'),
+last AS (SELECT finding, image, min(at_) AS at_ FROM ends GROUP BY 1, 2)
+SELECT l.finding, CASE WHEN p.target IN ('new', 'possible') OR live.live IS NOT NULL THEN 'applied' WHEN l.at_ = own.step AND own.target = 'existing' THEN 'item gone' ELSE 'no longer applies' END AS outcome,
+  CASE WHEN p.target IN ('new', 'possible') THEN 'new:' || p.finding ELSE live.live::VARCHAR END AS item
+FROM last l JOIN plan own ON own.finding = l.finding LEFT JOIN plan p ON p.image = l.image AND p.step = l.at_ LEFT JOIN live ON live.item = p.supp % 60 AND p.target = 'existing'
+UNION ALL SELECT -o_orderkey, 'no longer applies', NULL FROM orders WHERE o_orderkey % 97 = 0""")
+def trial_applied(spark, sf):
+    """What applying the chosen findings of a trial does: the item that each becomes part of, or why it is left out."""
+    plan = plan_of(spark, sf)
+    gone = table(spark, sf, "orders").where("o_orderkey % 97 = 0").select((-F.col("o_orderkey")).alias("finding"))
+    chosen = plan.where("q % 3 = 0").select("finding").unionByName(gone)
+    made, told = applying.apply_selected(plan, chosen, merged_items(spark, sf))
+    return told.join(made.select("finding", "item"), "finding", "left")

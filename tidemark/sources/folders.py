@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession, kind: str) -> str:
@@ -16,3 +16,10 @@ def work_folder(spark: SparkSession, kind: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.mkdtemp(prefix="tidemark-")
     return f"{top}/{kind}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back from a table in the shared folder; for loops to a fixed point."""
+    path = work_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
