@@ -159,10 +159,11 @@ class Table:
 
 def _table(steps: DataFrame) -> Table:
     """At most ``SENT_STEPS`` rows, for the tasks."""
-    found = steps.select(F.xxhash64("step").alias("k"), "known", "unknown", F.col("seen").cast("float").alias("seen")).toPandas()
-    keys = found["k"].to_numpy(np.int64).view(np.uint64)
+    value = ("known", "unknown", "seen")
+    found = steps.select(F.xxhash64("step").alias("k"), *[F.col(c).cast("float").alias(c) for c in value]).toArrow()
+    keys = found["k"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return Table(keys[order], found[["known", "unknown", "seen"]].to_numpy(np.float32)[order])
+    return Table(keys[order], np.stack([found[c].to_numpy()[order] for c in value], 1))
 
 
 _known: dict[str, dict[str, float]] = {}
