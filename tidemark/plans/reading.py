@@ -316,12 +316,12 @@ def search_filters(spark, sf):
 
 
 @query("""
-WITH l AS (SELECT doc_id AS image, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT AS n FROM documents WHERE lang = 'en'),
+WITH l AS (SELECT doc_id AS image, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT AS n FROM documents),
 m AS (SELECT image, n, list_filter(regexp_extract_all(translate(lower(line), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[\\p{L}\\p{N}]+'), lambda t: t = 'the' OR starts_with(t, 'her')) AS k FROM l)
 SELECT image, n, array_to_string(k, ',') AS marks FROM m WHERE len(k) > 0""")
 def viewer_marks(spark, sf):
     """Lines that match a query, with the words that do."""
-    lines = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("image"), F.posexplode(F.split("text", "\n")).alias("n", "text")).withColumn("n", F.col("n") + 1)
+    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("image"), F.posexplode(F.split("text", "\n")).alias("n", "text")).withColumn("n", F.col("n") + 1)
     return S.viewer(lines, S.parse("the her")).where(F.size("marks") > 0).select("image", "n", F.array_join("marks", ",").alias("marks"))
 
 
