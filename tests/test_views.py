@@ -82,3 +82,14 @@ def test_replaced_sightings(spark):
     assert {r.finding: r.outcome for r in told.collect()} == {"a": "applied", "c": "applied", "d": "item gone", "e": "applied", "zz": "no longer applies"}
     assert {(r.finding, r["item"]) for r in made.collect()} == {("a", "7"), ("b", "7"), ("c", "7"), ("e", "new:e")}
     assert {(r.finding, r.sighting) for r in applying.replaced_sightings(plan, made, sightings, items).collect()} == {("a", "s2"), ("b", "s1"), ("c", "s3")}
+
+
+def test_lines_of_the_subject(spark):
+    heads = spark.createDataFrame([(1, 100.0, 60.0), (1, 210.0, 62.0), (1, 320.0, 60.0), (2, 100.0, 60.0)], "image int, mid_x double, mid_y double")
+    spots = [(1, 1, 100, 300), (1, 2, 20, 300), (1, 3, 380, 300), (1, 4, 400, 300), (1, 5, 200, 30), (1, 6, 210, 500), (2, 7, 9999, 5), (3, 8, 0, 0)]
+    lines = spark.createDataFrame([(image, n, "t", x, y, 0, 0) for image, n, x, y in spots], LINE)
+    frame = "image int, window int, stack int, x int, y int, w int, h int"
+    seen = lambda windows: sorted(r.n for r in grids.subject_lines(lines, grids.week_regions(heads), spark.createDataFrame(windows, frame)).collect())
+    assert seen([]) == [1, 3, 6, 7, 8]
+    assert seen([(1, 1, 2, 0, 0, 900, 900), (1, 2, 1, 150, 450, 200, 100), (1, 3, 3, 50, 250, 100, 100)]) == [1, 3, 7, 8]
+    assert seen([(1, 1, 2, 0, 0, 900, 900), (1, 2, None, 150, 450, 200, 100)]) == [1, 3, 6, 7, 8]

@@ -277,3 +277,48 @@ def _row_clock() -> Column:
     level = lambda t: F.abs(t["my"] - F.col("my")) <= F.greatest(F.lit(4.0), F.col("h") * 0.6)
     inside = lambda t, c: (t["mx"] >= c["mid_x"] - c["width"] / 2) & (t["mx"] < c["mid_x"] + c["width"] / 2)
     return _let(own, lambda c: F.array_min(F.filter("clocks", lambda t: (t["x"] > F.col("x")) & inside(t, c) & level(t)))["text"])
+
+
+REGION = "struct<min_x:double,max_x:double,min_y:double,max_y:double,ax:double,ay:double>"
+
+
+def month_regions(cells: DataFrame) -> DataFrame:
+    """(image, region): what the cells of a month view cover, a fifth of a row above them and a row below, and where the first one is."""
+    ys = F.array_sort(F.array_distinct(F.transform("cells", lambda c: c["mid_y"])))
+    width, xs = F.col("cells")[0]["width"], F.transform("cells", lambda c: c["mid_x"])
+    rows = cells.where(F.size("cells") >= LEAST_LABELS).select("image", ys.alias("ys"), width.alias("width"), xs.alias("xs"), F.col("cells")[0].alias("first"))
+    row = F.coalesce(upper_median(steps(F.col("ys"))), F.col("width") * 0.6)
+    half = F.col("width") / 2
+    return rows.select("image", F.struct(
+        (F.array_min("xs") - half).alias("min_x"), (F.array_max("xs") + half).alias("max_x"), (F.col("ys")[0] - row * 0.2).alias("min_y"),
+        (F.array_max("ys") + row).alias("max_y"), F.col("first.mid_x").alias("ax"), F.col("first.mid_y").alias("ay"),
+    ).cast(REGION).alias("region"))
+
+
+def week_regions(headers: DataFrame) -> DataFrame:
+    """(image, region): the columns of two week headers or more, over half a column to either side, and all below them."""
+    met = headers.groupBy("image").agg(F.array_sort(F.collect_list("mid_x")).alias("xs"), F.min("mid_y").alias("top"), F.min(F.struct("mid_x", "mid_y")).alias("first")).where(F.size("xs") >= 2)
+    column, end = upper_median(steps(F.col("xs"))), F.lit(float("inf"))
+    return met.select("image", F.struct(
+        (F.col("xs")[0] - column * 0.6).alias("min_x"), (F.array_max("xs") + column * 0.6).alias("max_x"), (F.col("top") - column * 0.2).alias("min_y"),
+        end.alias("max_y"), F.col("first.mid_x").alias("ax"), F.col("first.mid_y").alias("ay"),
+    ).cast(REGION).alias("region"))
+
+
+def subject_lines(lines: DataFrame, regions: DataFrame, windows: DataFrame) -> DataFrame:
+    """The lines of a calendar: those in its region that no window in front of its own covers.
+
+    Its own window is the frontmost one that holds the region's first label. Windows (image, window, stack, x, y, w, h) count where a
+    picture has two or more and all have their place in the stack; pictures without a region keep all lines.
+    """
+    holds = lambda f, x, y: (x >= f["x"]) & (x <= f["x"] + f["w"]) & (y >= f["y"]) & (y <= f["y"] + f["h"])
+    frames = windows.groupBy("image").agg(F.count("*").alias("_n"), F.count("stack").alias("_known"), F.collect_list(F.struct("stack", "x", "y", "w", "h")).alias("_frames"))
+    met = regions.join(frames.where("_n > 1 AND _n = _known"), "image", "left")
+    own = F.array_min(F.transform(F.filter("_frames", lambda f: holds(f, F.col("region.ax"), F.col("region.ay"))), lambda f: f["stack"]))
+    told = met.select("image", "region", "_frames", own.alias("_own"))
+    told = told.select("image", "region", F.filter("_frames", lambda f: f["stack"] < F.col("_own")).alias("_front"))
+    x, y = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
+    inside = x.between(F.col("region.min_x"), F.col("region.max_x")) & y.between(F.col("region.min_y"), F.col("region.max_y"))
+    covered = F.coalesce(F.exists("_front", lambda f: holds(f, x, y)), F.lit(False))
+    kept = lines.join(told, "image", "left").where(F.col("region").isNull() | (inside & ~covered))
+    return kept.select(*lines.columns)

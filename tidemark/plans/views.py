@@ -227,3 +227,25 @@ def reference_clocks(spark, sf):
     of = lambda sql: spark.sql(spoken(sql, True).replace("FROM lineitem", "FROM {lineitem}").replace("FROM orders", "FROM {orders}"), lineitem=table(spark, sf, "lineitem"), orders=table(spark, sf, "orders")).withColumnRenamed("window_", "window")
     found = clocks.reference_clocks(dates.parse(of(CLOCKS)), of(WINDOWS))
     return found.withColumn("instant", F.date_format("instant", "yyyy-MM-dd HH:mm:ss"))
+
+
+#: Windows of the pictures: the calendar's, one over some of its cells in every second picture, one beside it without a place in every fifth.
+FRAMES = f"""SELECT image, w AS window_, CASE WHEN w = 3 AND image % 5 = 0 THEN CAST(NULL AS INT) ELSE 3 - w END AS stack, CASE w WHEN 1 THEN 40 WHEN 2 THEN 350 + 10 * (image % 9) ELSE 900 END AS x,
+  CASE w WHEN 1 THEN 20 WHEN 2 THEN 280 ELSE 0 END AS y, CASE w WHEN 1 THEN 820 WHEN 2 THEN 200 ELSE 400 END AS w, CASE w WHEN 1 THEN 760 WHEN 2 THEN 160 ELSE 300 END AS h
+  FROM ({PICTURES}) p CROSS JOIN (SELECT 1 AS w UNION ALL SELECT 2 UNION ALL SELECT 3) k WHERE w <> 2 OR image % 2 = 0"""
+
+
+@query(rf"""WITH {CELLS}, frames AS ({spoken(FRAMES, False)}),
+ys AS (SELECT image, mid_y, mid_y - lag(mid_y) OVER (PARTITION BY image ORDER BY mid_y) AS gap FROM (SELECT DISTINCT image, mid_y FROM cells)),
+high AS (SELECT image, min(mid_y) AS top, max(mid_y) AS bottom, {MEDIAN.format("gap")} AS gap FROM ys GROUP BY 1),
+reg AS (SELECT c.image, min(mid_x) - any_value(width) / 2 AS x1, max(mid_x) + any_value(width) / 2 AS x2, any_value(top - 0.2::DOUBLE * coalesce(gap, 0.6::DOUBLE * width)) AS y1, any_value(bottom + coalesce(gap, 0.6::DOUBLE * width)) AS y2,
+  arg_min(mid_x, k) AS ax, arg_min(mid_y, k) AS ay FROM cells c JOIN high ON high.image = c.image GROUP BY c.image),
+own AS (SELECT r.image, min(stack) AS stack FROM reg r JOIN frames f ON f.image = r.image AND ax BETWEEN f.x AND f.x + f.w AND ay BETWEEN f.y AND f.y + f.h WHERE r.image NOT IN (SELECT image FROM frames WHERE stack IS NULL) GROUP BY 1)
+SELECT l.image, l.n FROM lines l LEFT JOIN reg r ON r.image = l.image WHERE r.image IS NULL OR (l.x + l.w / 2 BETWEEN x1 AND x2 AND l.y + l.h / 2 BETWEEN y1 AND y2
+  AND NOT EXISTS (SELECT 1 FROM frames f JOIN own ON own.image = f.image AND f.stack < own.stack WHERE f.image = l.image AND l.x + l.w / 2 BETWEEN f.x AND f.x + f.w AND l.y + l.h / 2 BETWEEN f.y AND f.y + f.h))""")
+def subject_lines(spark, sf):
+    """The lines of month views that are inside the grid and that no window in front covers."""
+    lines = _lines(spark, sf)
+    regions = G.month_regions(G.month_cells(lines, _pictures(spark, sf)))
+    frames = spark.sql(spoken(FRAMES, True).replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf, "lineitem"))
+    return G.subject_lines(lines, regions, frames).select("image", "n")
