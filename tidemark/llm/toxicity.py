@@ -36,7 +36,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +55,6 @@ CURVE_ROWS, CURVE_SHARE, STEPS = 20_000, 0.25, 25
 KEPT = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 START, END, GOES_ON = "\x02", "\x03", "\x04"
-SEED = 42
 
 
 def events(text: str) -> list[str]:
@@ -138,8 +136,29 @@ def spelling_steps(words: DataFrame) -> DataFrame:
     return met.where(telling).select("step", cut("known"), cut("unknown"), F.col("known").isNotNull().alias("seen"))
 
 
-def hashed(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), SEED)
+#: Events hashed at a time, and the base of the polynomial in 64 bits.
+CHUNK, BASE = 20_000, np.uint64(0x9E3779B97F4A7C15)
+
+
+def _prefixes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial hashes of every beginning of each word (column k: of its first k letters), and the words' lengths."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    laid = np.zeros((len(words), int(sizes.max(initial=0))), np.uint64)
+    laid[np.arange(laid.shape[1]) < sizes[:, None]] = letters
+    out = np.zeros((len(words), laid.shape[1] + 1), np.uint64)
+    for k in range(laid.shape[1]):
+        out[:, k + 1] = out[:, k] * BASE + laid[:, k]
+    return out, sizes
+
+
+def hashed(words: list[str]) -> np.ndarray:
+    """One hash for each word; the arithmetic wraps at 64 bits."""
+    parts = [np.zeros(0, np.uint64)]
+    for k in range(0, len(words), CHUNK):
+        upto, sizes = _prefixes(words[k : k + CHUNK])
+        parts.append(upto[np.arange(len(sizes)), sizes])
+    return np.concatenate(parts)
 
 
 @dataclass
@@ -160,8 +179,8 @@ class Table:
 def _table(steps: DataFrame) -> Table:
     """At most ``SENT_STEPS`` rows, for the tasks."""
     value = ("known", "unknown", "seen")
-    found = steps.select(F.xxhash64("step").alias("k"), *[F.col(c).cast("float").alias(c) for c in value]).toArrow()
-    keys = found["k"].to_numpy().view(np.uint64)
+    found = steps.select("step", *[F.col(c).cast("float").alias(c) for c in value]).toArrow()
+    keys = np.concatenate([np.zeros(0, np.uint64), *[hashed(part.to_pylist()) for part in found["step"].chunks]])
     order = np.argsort(keys)
     return Table(keys[order], np.stack([found[c].to_numpy()[order] for c in value], 1))
 
@@ -179,14 +198,23 @@ class Model:
 
     def word_evidence(self, words: list[str]) -> np.ndarray:
         """Toxic less ordinary log-likelihood of each event's letters: of the step if it was seen, else of what may follow its letters."""
-        each = [grams(w) for w in words]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        flat = [g for all_ in each for g in all_]
-        keys = lambda texts: np.fromiter(map(hashed, texts), np.uint64, len(flat))
-        _, own = self.steps.at(keys(flat))
-        _, before = self.steps.at(keys([g[:-1] for g in flat]))
-        value = np.where(own[:, 2] > 0, own[:, 0], before[:, 1])
-        return np.bincount(np.repeat(np.arange(len(words)), sizes), value, len(words))
+        return np.concatenate([np.zeros(0), *[self._evidence(words[k : k + CHUNK]) for k in range(0, len(words), CHUNK)]])
+
+    def _evidence(self, words: list[str]) -> np.ndarray:
+        first = np.fromiter((1 if w[0] == START else ORDER for w in words), np.int64, len(words))
+        upto, sizes = _prefixes([w if w[0] == START else w[1:] for w in words])
+        out, k = np.zeros(len(words)), np.arange(1, upto.shape[1] - 1)
+        begun = np.maximum(k - ORDER, 0)  # where the letters before letter k begin
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(ORDER + 1, BASE)]), dtype=np.uint64)
+        before = upto[:, k] - upto[:, begun] * power[k - begun]
+        own = upto[:, k + 1] - upto[:, begun] * power[k - begun + 1]
+        row, col = np.nonzero((k >= first[:, None]) & (k < sizes[:, None]))
+        there, value = self.steps.at(own[row, col])
+        seen = there & (value[:, 2] > 0)
+        np.add.at(out, row[seen], value[seen, 0])
+        row, col = row[~seen], col[~seen]
+        np.add.at(out, row, self.steps.at(before[row, col])[1][:, 1])
+        return out
 
     def known(self, words: set[str]) -> dict[str, float]:
         """Evidence of the words, kept for this worker."""
