@@ -7,6 +7,9 @@ Nothing is rewritten: states are aggregates over what has not been undone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,17 +48,36 @@ def locks(log: DataFrame) -> DataFrame:
 def states_before(log: DataFrame) -> DataFrame:
     """(op, item, status, merged_into): each operation with what its item was just before, as the log then stood.
 
-    Running aggregates along each item's operations; an undo counts from its own place on, so what came later is not
-    known to what came before.
+    An undo counts from its own place on, so what came later is not known to what came before. Each item's operations
+    stream past in order, with a stack of those that set a state: what is undone by now never counts again, so it is
+    taken off for good when it is met at the top. Every operation is put on and taken off once, however long the log.
     """
-    undone_at = log.where(F.col("kind") == "undo").groupBy(F.col("undoes").alias("_u")).agg(F.min("op").alias("_undone"))
-    marked = log.join(undone_at, F.col("op") == F.col("_u"), "left").drop("_u")
-    before = Window.partitionBy("item").orderBy("op").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.collect_list(F.when(F.col("kind").isin(*STATUS), F.struct("op", "kind", "other", "_undone"))).over(before)
-    live = F.filter(own, lambda x: x["_undone"].isNull() | (x["_undone"] > F.col("op")))
-    last = F.try_element_at(live, F.lit(-1))
-    status = F.when(last["kind"] == "dismiss", "dismissed").when(last["kind"] == "merge", "merged").otherwise("active")
-    return marked.select("op", "item", status.alias("status"), F.when(last["kind"] == "merge", last["other"]).alias("merged_into"))
+    undone_at = log.where(F.col("kind") == "undo").groupBy(F.col("undoes").alias("_u")).agg(F.min("op").alias("undone"))
+    marked = log.join(undone_at, F.col("op") == F.col("_u"), "left").select("op", "item", "kind", "other", "undone")
+    kinds = {f.name: f.dataType.simpleString() for f in marked.schema}
+
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, live, fresh = None, None, [], []
+        for batch in batches:
+            status, into = [], []
+            for op, item, kind, other, undone in zip(*(batch[c].to_pylist() for c in ("op", "item", "kind", "other", "undone")), strict=True):
+                if item is None or item != at:
+                    at, live, fresh = item, [], []
+                elif op != last:
+                    live += fresh
+                    fresh = []
+                last = op
+                while live and live[-1][0] is not None and live[-1][0] <= op:
+                    live.pop()
+                _, now, kept = live[-1] if live else (None, "restore", None)
+                status.append({"dismiss": "dismissed", "merge": "merged"}.get(now, "active"))
+                into.append(kept if now == "merge" else None)
+                if kind in STATUS and op is not None:
+                    fresh.append((undone, kind, other))
+            yield pa.RecordBatch.from_arrays([batch["op"], batch["item"], pa.array(status, pa.string()), pa.array(into, batch.schema.field("other").type)], ["op", "item", "status", "merged_into"])
+
+    rows = marked.repartition("item").sortWithinPartitions("item", "op")
+    return rows.mapInArrow(followed, f"op {kinds['op']}, item {kinds['item']}, status string, merged_into {kinds['other']}")
 
 
 def undo_target(log: DataFrame) -> DataFrame:
