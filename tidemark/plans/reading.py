@@ -140,7 +140,7 @@ SELECT event_id, CASE WHEN kind = 'appointment' THEN start END AS start, CASE WH
  CASE WHEN kind <> 'appointment' THEN coalesce(due, start) END AS due FROM f""")
 def assembled_findings(spark, sf):
     """Spans and due times of findings: an end only if shown, else an hour within the day."""
-    e, start = F.col("event_id"), F.round(micros(F.col("ts")) / 1_000_000).cast("long")
+    e, start = F.col("event_id"), F.rint(micros(F.col("ts")) / 1_000_000).cast("long")
     midnight = (F.floor(start / 86400) + 1) * 86400
     made = R.assembled(start, start + (e % 9 - 2) * 1800, F.when(e % 4 == 0, F.lit(5).cast("long")), _pick(e, "appointment", "task", "deadline"), e % 2 == 0, midnight)
     return table(spark, sf, "events").select("event_id", made.alias("m")).select("event_id", "m.*")
