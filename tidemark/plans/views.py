@@ -129,7 +129,7 @@ SELECT e.image, e.n, e.title, coalesce(e.said, beside.clock) AS clock, at_.cell[
 def month_entries(spark, sf):
     """The entries of month views with their own or their row's time and their cell's day."""
     lines = _lines(spark, sf)
-    found = G.month_entries(lines, G.month_cells(lines, _pictures(spark, sf)))
+    found = G.month_entries(lines.where("n >= 1000"), G.month_cells(lines, _pictures(spark, sf)))  # lines of the window itself have smaller numbers
     return found.withColumn("day", F.col("day").cast("string"))
 
 
