@@ -6,8 +6,9 @@ import time
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
-from tidemark.operators import actions
+from tidemark.operators import actions, reading, search
 from tidemark.plans import actions as plans
 from tidemark.plans import catalogue
 
@@ -66,3 +67,18 @@ def test_states_before_in_a_long_log(spark, tmp_path):
         live = live[-64:]  # an undo reaches back four operations
     assert {r.op: (r.status, r.merged_into) for r in catalogue.QUERIES["states_before"](spark, str(tmp_path)).collect()} == told
     assert time.monotonic() - began < 120
+
+
+def test_terms_of_rows_with_one_id(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, "c c d"), (None, "d"), (None, "d e"), (3, None)], "doc long, text string")
+    got = {r.token: (r.n, r.docs) for r in search.term_counts(rows, "doc", "text").collect()}
+    assert got == {"a": (2, 1), "b": (2, 1), "c": (3, 2), "d": (3, 1), "e": (1, 0)}
+
+
+def test_sensitive_strings_are_not_sent(spark):
+    lines = spark.range(2_000).select(F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"))
+    strings = spark.range(1_500).select(F.concat(F.lit("E "), F.col("id").cast("string")).alias("x"))
+    left = reading.loggable(lines, "line", strings, "x")
+    held = left._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in held and "SortMergeJoin" in held
+    assert sorted(int(r.line[5:]) for r in left.collect()) == [k for k in range(2_000) if not any(f"e {s}" in f"line {k}" for s in range(1_500))]

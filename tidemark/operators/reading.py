@@ -190,6 +190,7 @@ def loggable(lines: DataFrame, text: str, sensitive: DataFrame, string: str, wor
 
     Up to ``most`` strings become one pattern, so lines are read once and stay where they are. More of them meet the distinct
     lines by their first ``KEYED`` letters (all, if they have fewer): the same lines are left at every size.
+    Both grow with the text and pack well, so that a table of them looks small enough to be sent: these joins shuffle.
     """
     short = lines.where(F.size(F.split(text, " ")) <= words)
     strings = sensitive.select(F.lower(string).alias("s")).where(F.length("s") > 0).distinct()
@@ -199,8 +200,8 @@ def loggable(lines: DataFrame, text: str, sensitive: DataFrame, string: str, wor
     keyed = strings.withColumn("_g", F.substring("s", 1, KEYED))
     low = short.select(F.lower(text).alias("_low")).distinct()
     bad = low.select("_low", F.explode(F.array_distinct(F.concat(*[_grams("_low", n) for n in range(1, KEYED + 1)]))).alias("_g"))
-    bad = bad.join(keyed, "_g").where(F.col("_low").contains(F.col("s"))).select("_low").distinct()
-    return short.withColumn("_low", F.lower(text)).join(bad, "_low", "left_anti").drop("_low")
+    bad = bad.join(keyed.hint("merge"), "_g").where(F.col("_low").contains(F.col("s"))).select("_low").distinct()
+    return short.withColumn("_low", F.lower(text)).join(bad.hint("merge"), "_low", "left_anti").drop("_low")
 
 
 def _grams(text: str, n: int) -> Column:
