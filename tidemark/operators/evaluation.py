@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import evaluation_similarity
+from ..sources.folders import settled
 
 
 def merge_quality(rows: DataFrame) -> DataFrame:
@@ -32,13 +33,13 @@ def greedy_match(want: DataFrame, got: DataFrame, least: float, most_gap: int) -
     near = F.explode(F.sequence(F.floor((F.col("at") - most_gap) / width), F.floor((F.col("at") + most_gap) / width)))
     a, b = want.withColumn("_bin", near).alias("a"), got.withColumn("_bin", F.floor(F.col("at") / width)).alias("b")
     left = a.join(b, (F.col("a.case") == F.col("b.case")) & (F.col("a._bin") == F.col("b._bin"))).select(F.col("a.case").alias("case"), F.col("a.id").alias("want"), F.col("b.id").alias("got"), score.alias("score"), gap.alias("gap"))
-    left = left.where((F.col("score") >= least) & (F.col("gap") <= most_gap))
+    left = settled(left.where((F.col("score") >= least) & (F.col("gap") <= most_gap)))  # titles are compared once, not in every round
     order = [F.col("score").desc(), "gap", "want", "got"]
     taken = None
     while True:
         ranked = left.withColumn("i", F.row_number().over(Window.partitionBy("case", "want").orderBy(*order))).withColumn("j", F.row_number().over(Window.partitionBy("case", "got").orderBy(*order)))
-        best = ranked.where("i = 1 AND j = 1").select("case", "want", "got", F.round("score", 6).alias("score")).persist()
+        best = settled(ranked.where("i = 1 AND j = 1").select("case", "want", "got", F.round("score", 6).alias("score")))
         if best.isEmpty():
             return best if taken is None else taken
         taken = best if taken is None else taken.unionByName(best)
-        left = left.join(best.select("case", "want"), ["case", "want"], "left_anti").join(best.select("case", "got"), ["case", "got"], "left_anti")
+        left = settled(left.join(best.select("case", "want"), ["case", "want"], "left_anti").join(best.select("case", "got"), ["case", "got"], "left_anti"))
