@@ -52,6 +52,21 @@ def postings(docs: DataFrame, doc_id: str, fields: dict[str, str]) -> DataFrame:
     return each
 
 
+def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(token, n, docs): how often each word occurs, and in how many documents.
+
+    Each row's words and its distinct words are counted in one aggregate that combines before the shuffle, so what is shuffled
+    is of the size of the vocabulary. Words of ids with several rows are counted by id as well; null is no id.
+    """
+    split = docs.select(F.col(doc_id).alias("doc"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    told = lambda words, n, d: F.transform(words, lambda t: F.struct(t.alias("token"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("docs")))
+    counted = split.select(F.inline(F.concat(told(F.col("words"), 1, 0), told(F.array_distinct("words"), 0, F.col("doc").isNotNull()))))
+    repeated = docs.groupBy(F.col(doc_id).alias("doc")).agg(F.count("*").alias("rows")).where("rows > 1").select("doc")
+    again = split.join(repeated, "doc").select("doc", F.explode(F.array_distinct("words")).alias("token")).groupBy("doc", "token").agg(F.count("*").alias("rows"))
+    more = again.where("rows > 1").select("token", F.lit(0).cast("long").alias("n"), (1 - F.col("rows")).alias("docs"))
+    return counted.unionByName(more).groupBy("token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
 def holds(words: Column, terms: Terms) -> Column:
     """Whether a document's token array matches all words and phrases and none of the excluded."""
     joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))

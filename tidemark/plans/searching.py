@@ -120,6 +120,4 @@ WITH w AS (SELECT doc_id, unnest(w) AS token FROM {WORDS}), d AS (SELECT token,
 SELECT token, n::BIGINT AS n, docs::BIGINT AS docs FROM d""")
 def index_terms(spark, sf):
     """The index's terms with their frequencies."""
-    p = S.postings(table(spark, sf, "documents"), "doc_id", {"text": "text"})
-    per = p.groupBy("token", "doc").agg(F.count("*").alias("c"))
-    return per.groupBy("token").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+    return S.term_counts(table(spark, sf, "documents"), "doc_id", "text")
