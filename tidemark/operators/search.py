@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,20 +203,97 @@ def _bucket(token: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(token, 1, 2)), F.lit(BUCKETS)).cast("int")
 
 
+#: Words that are met in a task before their postings are written.
+MET = 2_000_000
+#: Postings of one word in one field of some documents: their ids, how often each has it, and its places, as little-endian numbers.
+POSTINGS = "token string, field int, weight double, first long, docs binary, times binary, places binary"
+NO_ID = np.iinfo(np.int64).min
+
+
+def _bytes(values: np.ndarray, ends: np.ndarray, kind: str) -> pa.Array:
+    """One binary value for each run of ``values`` that ends at ``ends``."""
+    packed, at = values.astype(kind), np.append(0, ends) * np.dtype(kind).itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(packed)])
+
+
+def _posted(words: pa.ListArray, doc: np.ndarray, field: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Postings of some rows' words, and those of the empty word, which are the documents' sizes."""
+    sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts, row = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    met = words.flatten().dictionary_encode()
+    kinds = max(1, len(met.dictionary))
+    key = field[row].astype(np.int64) * kinds + met.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")  # rows and places stay in order
+    key, row, pos = key[order], row[order], (np.arange(len(row)) - starts[row])[order]
+    last = lambda changes, n: np.append(np.flatnonzero(changes) + 1, n) if n else np.empty(0, np.int64)
+    pairs = last((key[1:] != key[:-1]) | (row[1:] != row[:-1]), len(key))  # ends of a word in a row
+    told, holder = key[pairs - 1], row[pairs - 1]
+    runs = last(told[1:] != told[:-1], len(told))  # ends of a word
+    of = told[runs - 1]
+
+    def batch(token, of, docs, times, places, runs, upto):
+        columns = [token, pa.array(of.astype(np.int32)), pa.array(weights[of]), pa.array(docs[np.append(0, runs[:-1])] if len(runs) else docs[:0])]
+        packed = [x.cast(pa.binary()) for x in (_bytes(docs, runs, "<i8"), _bytes(times, runs, "<i4"), _bytes(places, upto, "<i4"))]
+        return pa.RecordBatch.from_arrays([*columns, *packed], ["token", "field", "weight", "first", "docs", "times", "places"])
+
+    token = met.dictionary.take(pa.array(of % kinds)).cast(pa.string())
+    yield batch(token, of // kinds, doc[holder], np.diff(pairs, prepend=0), pos, runs, pairs[runs - 1])
+    for k in np.unique(field):
+        mine = np.flatnonzero(field == k)
+        one = np.array([len(mine)])
+        yield batch(pa.array([""]), np.array([k]), doc[mine], sizes[mine], sizes[:0], one, np.array([0]))
+
+
 def write_index(docs: DataFrame, doc_id: str, fields: dict[str, tuple[str, float]], path: str) -> None:
     """Stores the fields' (column, weight) words below ``path``: postings by folder, documents' sizes, and one row of totals.
 
-    Postings hold a word's places in one field of one document; a folder holds about one 256th of the words.
+    Texts are split once, and a task groups the words of its own rows, some ``MET`` at a time: only rows of a word with all its documents
+    there and its places in them are shuffled, into folders that hold about one 256th of the words. Sizes are the postings of
+    the empty word, in a folder of their own.
     """
-    spark = docs.sparkSession
-    parts = F.array(*[F.struct(F.lit(w).cast("double").alias("weight"), F.lit(k).alias("field"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("words")) for k, (c, w) in enumerate(fields.values())])
-    each = docs.select(F.col(doc_id).alias("doc"), F.explode(parts).alias("p")).select("doc", "p.*")
-    sizes = each.groupBy("doc").agg(F.sum(F.size("words")).alias("size"))
-    sizes.write.parquet(f"{path}/sizes")
-    told = each.select("doc", "field", "weight", F.posexplode("words").alias("pos", "token"))
-    met = told.groupBy("token", "doc", "field", "weight").agg(F.array_sort(F.collect_list("pos")).alias("places")).withColumn("bucket", _bucket(F.col("token")))
-    met.repartition("bucket", F.pmod(F.xxhash64("token", "doc"), F.lit(8))).sortWithinPartitions("bucket", "token", "doc").write.partitionBy("bucket").parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/sizes").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).write.parquet(f"{path}/totals")
+    spark, weights = docs.sparkSession, np.array([float(w) for _, w in fields.values()])
+    parts = F.array(*[F.struct(F.lit(k).alias("field"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("words")) for k, (c, _) in enumerate(fields.values())])
+    each = docs.select(F.col(doc_id).cast("long").alias("doc"), F.explode(parts).alias("p")).select("doc", "p.*")
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            total, at = np.cumsum(rows["words"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), 0
+            while at < rows.num_rows:
+                done = total[at - 1] if at else 0
+                upto = max(at + 1, int(np.searchsorted(total, done + MET, side="right")))
+                part = rows.slice(at, upto - at)
+                yield from _posted(part["words"], part["doc"].fill_null(NO_ID).to_numpy(), part["field"].to_numpy(), weights)
+                at = upto
+
+    met = each.mapInArrow(posted, POSTINGS).withColumn("bucket", F.when(F.col("token") == "", -1).otherwise(_bucket(F.col("token"))))
+    met.repartition("bucket", F.pmod(F.xxhash64("token", "first"), F.lit(8))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
+    _sizes(spark, path).agg(F.count("*").alias("n"), F.avg("size").alias("mean")).write.parquet(f"{path}/totals")
+
+
+def _unpacked(postings: DataFrame, places: bool) -> DataFrame:
+    """(doc, field, weight, times) of stored postings, a row for each document, with ``places`` if asked for."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                doc, times = np.frombuffer(batch["docs"][k].as_py(), "<i8"), np.frombuffer(batch["times"][k].as_py(), "<i4")
+                n = len(doc)
+                columns = [pa.array(doc, mask=doc == NO_ID), pa.array(np.full(n, batch["field"][k].as_py(), np.int32)), pa.array(np.full(n, batch["weight"][k].as_py())), pa.array(times)]
+                if places:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(times)).astype(np.int32)), pa.array(np.frombuffer(batch["places"][k].as_py(), "<i4"))))
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "field", "weight", "times", "places"][: len(columns)])
+
+    read = postings.select("field", "weight", "docs", "times", *(["places"] if places else []))
+    return read.mapInArrow(rows, "doc long, field int, weight double, times int" + (", places array<int>" if places else ""))
+
+
+def _stored(spark, path: str) -> DataFrame:
+    return spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{path}/postings")
+
+
+def _sizes(spark, path: str) -> DataFrame:
+    """(doc, size): how many words a document has in all its fields."""
+    return _unpacked(_stored(spark, path).where("bucket = -1"), False).groupBy("doc").agg(F.sum("times").alias("size"))
 
 
 class Index:
@@ -223,23 +303,27 @@ class Index:
         self.spark, self.path = spark, path
         self.totals = spark.read.parquet(f"{path}/totals").first()
 
-    def _postings(self, word: str, prefix: bool = False) -> DataFrame:
-        every = self.spark.read.schema("token string, doc long, field int, weight double, places array<int>, bucket int").parquet(f"{self.path}/postings")
-        if prefix and len(word) < 2:
-            return every.where(F.col("token").startswith(word))
-        bucket = self.spark.range(1).select(_bucket(F.lit(word))).first()[0]
-        here = every.where(F.col("bucket") == bucket)
-        return here.where(F.col("token").startswith(word) if prefix else F.col("token") == word)
+    def _postings(self, word: str, prefix: bool = False, places: bool = False) -> DataFrame:
+        """(doc, field, weight, times) of a word, or of all that begin with it, with its ``places`` if asked for."""
+        every = _stored(self.spark, self.path).where("bucket >= 0")
+        if not prefix or len(word) >= 2:
+            bucket = self.spark.range(1).select(_bucket(F.lit(word))).first()[0]
+            every = every.where(F.col("bucket") == bucket)
+        return _unpacked(every.where(F.col("token").startswith(word) if prefix else F.col("token") == word), places)
 
     def _term(self, run: tuple[str, ...], prefix: bool = False) -> DataFrame:
         """(doc, tf) of documents that hold the word, or the words one after another: occurrences weighted by field."""
-        found = self._postings(run[0], prefix).select("doc", "field", "weight", "places")
+        if len(run) == 1:
+            return self._postings(run[0], prefix).groupBy("doc").agg(F.sum(F.col("weight") * F.col("times")).alias("tf"))
+        found = self._placed(run[0], 0)
         for k, word in enumerate(run[1:], 1):
-            found = found.join(self._shifted(word, k), ["doc", "field"]).withColumn("places", F.array_intersect("places", "_p")).drop("_p")
+            found = found.join(self._placed(word, k).select("doc", "field", F.col("places").alias("_p")), ["doc", "field"]).withColumn("places", F.array_intersect("places", "_p")).drop("_p")
         return found.where(F.size("places") > 0).groupBy("doc").agg(F.sum(F.col("weight") * F.size("places")).alias("tf"))
 
-    def _shifted(self, word: str, by: int) -> DataFrame:
-        return self._postings(word).select("doc", "field", F.transform("places", lambda p: p - by).alias("_p"))
+    def _placed(self, word: str, by: int) -> DataFrame:
+        """A word's postings, one for each document and field, with places moved back."""
+        met = self._postings(word, places=True).groupBy("doc", "field", "weight").agg(F.flatten(F.collect_list("places")).alias("places"))
+        return met.withColumn("places", F.transform("places", lambda p: p - by))
 
     def search(self, terms: Terms) -> DataFrame:
         """(doc, score) of documents with all words and phrases and none of what is excluded, by BM25; a phrase is one term."""
@@ -257,7 +341,7 @@ class Index:
             return self.spark.createDataFrame([], "doc long, score double")
         for run in terms.excluded:
             out = out.join(self._term(run).select("doc"), "doc", "left_anti")
-        out = out.join(self.spark.read.parquet(f"{self.path}/sizes"), "doc")
+        out = out.join(_sizes(self.spark, self.path), "doc")
         score = F.lit(0.0)
         for k in range(len(runs)):
             tf = F.col(f"_tf{k}")
