@@ -2,8 +2,8 @@
 
 A trial's plan has (image, step, finding, title, target, other): ``existing`` with an item, ``same`` with an earlier step of the picture,
 ``new``, or ``possible`` with the item that it may be a copy of. A chosen step needs the step whose item it joins, which
-needs its own; that closure, and what each step's item is, are found by iterated joins to a fixed point. Items are looked up as they
-are now, at the ends of their merges.
+needs its own; that closure, and the step that each step's item comes from, are found in one pass over the plan by picture. Items are
+looked up as they are now, at the ends of their merges.
 
 Ids of new items and sightings come from the findings, so applying the same choice twice gives the same tables.
 Results: ``applied``, or ``item gone`` where the item no longer exists, or ``no longer applies`` for a choice that the plan does not have, or
@@ -12,8 +12,14 @@ that joins a step without an item. Columns other than these are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import normalise
 from ..sources.folders import settled
@@ -22,37 +28,76 @@ from .actions import survivors
 SIGHTING = "struct<id:string,title:string,norm:string>"
 
 
+def _closed(rows: pa.Table) -> pa.Table:
+    """Needed steps of whole pictures, in the order of (image, step), with the ``end`` of each: the step that its item comes from, null if there is none."""
+    rows = rows.combine_chunks()
+    n, image = rows.num_rows, rows["image"]
+    change = np.append(True, pc.not_equal(image[1:], image[:-1]).to_numpy(zero_copy_only=False)) if n > 1 else np.ones(n, bool)
+    picture, step = np.cumsum(change).astype(np.int64) << 33, rows["step"].cast("int64").to_numpy()
+    key, to = picture + step, rows["_to"].cast("int64")
+    joins, want = to.is_valid().to_numpy(zero_copy_only=False), picture + to.fill_null(0).to_numpy()
+    at = np.minimum(np.searchsorted(key, want), n - 1)
+    up = np.where(joins, np.where(key[at] == want, at, n), np.arange(n))  # n: a step that the plan does not have
+    needed, edge = np.zeros(n + 1, bool), np.flatnonzero(rows["_chosen"].fill_null(False).to_numpy(zero_copy_only=False))
+    up, needed[n] = np.append(up, n), True
+    while len(edge):
+        needed[edge] = True
+        edge = np.unique(up[edge])
+        edge = edge[~needed[edge]]
+    end = up
+    for _ in range(n.bit_length() + 1):  # pointers double in reach each round; a circle has no end
+        end = end[end]
+    ended = np.append(~joins, False)[end]
+    kept = np.flatnonzero(needed[:n])
+    ends = pa.array(end[kept], mask=~ended[kept])
+    out = rows.take(pa.array(kept))
+    for name in ("finding", "target", "other"):
+        out = out.append_column(f"_{name}", rows[name].take(ends))
+    return out.drop_columns(["_to", "_chosen"])
+
+
 def needed_steps(plan: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(image, step): the chosen findings' steps and all that they join."""
-    links = plan.select("image", "step", F.when(F.col("target") == "same", F.col("other").cast("int")).alias("to"))
-    found = settled(plan.join(chosen.select("finding").distinct(), "finding").select("image", "step").distinct())
-    edge = found
-    while edge.head(1):
-        reached = links.join(edge, ["image", "step"]).where("to is not null").select("image", F.col("to").alias("step")).distinct()
-        edge = settled(reached.join(found, ["image", "step"], "left_anti"))
-        found = settled(found.unionByName(edge))
-    return found
+    """The plan's chosen steps and all that they join, each with ``_finding``, ``_target`` and ``_other`` of the step that its item comes from.
+
+    Rows arrive sorted by picture; a picture's rows are held together.
+    """
+    marked = plan.where("image is not null and step is not null").join(chosen.select("finding").distinct().withColumn("_chosen", F.lit(True)), "finding", "left")
+    kept = marked.select("image", "step", "finding", "title", "target", "other", F.when(F.col("target") == "same", F.col("other").cast("int")).alias("_to"), "_chosen")
+    wide = kept.drop("_to", "_chosen").select("*", *[F.col(c).alias(f"_{c}") for c in ("finding", "target", "other")])
+    told = T.StructType([T.StructField(f.name, f.dataType) for f in wide.schema])  # any of them may be null
+
+    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            image = batch["image"]
+            cuts = np.flatnonzero(pc.not_equal(image[1:], image[:-1]).to_numpy(zero_copy_only=False)) + 1
+            cut = int(cuts[-1]) if len(cuts) else 0
+            if held and (cut or image[0] != held[-1]["image"][-1]):
+                yield from _closed(pa.Table.from_batches([*held, batch.slice(0, cut)])).to_batches()
+                held = []
+            elif cut:
+                yield from _closed(pa.Table.from_batches([batch.slice(0, cut)])).to_batches()
+            if batch.num_rows > cut:
+                held.append(batch.slice(cut))
+        if held:
+            yield from _closed(pa.Table.from_batches(held)).to_batches()
+
+    return kept.repartition("image").sortWithinPartitions("image", "step").mapInArrow(closed, told)
 
 
 def resolved_steps(steps: DataFrame, items: DataFrame) -> DataFrame:
     """Adds ``item`` (null if there is none any more), ``joined`` and ``beside``, the live item that a new one may be a copy of."""
-    live = survivors(items).select(F.col("item").cast("string").alias("other"), F.col("live").cast("string").alias("live"))
-    told = steps.join(live, "other", "left")
-    new = F.concat(F.lit("new:"), F.col("finding").cast("string"))
-    item = F.when(F.col("target") == "existing", F.col("live")).when(F.col("target").isin("new", "possible"), new)
+    live = survivors(items).select(F.col("item").cast("string").alias("_other"), F.col("live").cast("string").alias("live"))
+    told = steps.join(live, "_other", "left")
+    new = F.concat(F.lit("new:"), F.col("_finding").cast("string"))
+    item = F.when(F.col("_target") == "existing", F.col("live")).when(F.col("_target").isin("new", "possible"), new)
     told = told.withColumn("item", item).withColumn("beside", F.when(F.col("target") == "possible", F.col("live")))
-    known = settled(told.select("image", "step", F.when(F.col("target") == "same", F.col("other").cast("int")).alias("to"), "item"))
-    while known.where("to is not null").head(1):  # pointers double in reach each round
-        ahead = known.select("image", F.col("step").alias("to"), F.col("to").alias("_to"), F.col("item").alias("_item"))
-        met = known.join(ahead, ["image", "to"], "left")
-        known = settled(met.select("image", "step", F.when(F.col("_to") < F.col("to"), F.col("_to")).alias("to"), F.coalesce("item", "_item").alias("item")))
-    found = known.select("image", "step", F.col("item").alias("_found"))
-    return told.join(found, ["image", "step"]).withColumn("item", F.col("_found")).withColumn("joined", F.col("target").isin("existing", "same")).drop("_found", "live")
+    return told.withColumn("joined", F.col("target").isin("existing", "same")).drop("_finding", "_target", "_other", "live")
 
 
 def apply_selected(plan: DataFrame, chosen: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Steps to make, (image, step, finding, title, item, joined, beside), and (finding, outcome) of every choice."""
-    made = settled(resolved_steps(plan.join(needed_steps(plan, chosen), ["image", "step"]), items))
+    made = settled(resolved_steps(needed_steps(plan, chosen), items))
     told = chosen.select("finding").distinct().join(made.select("finding", "target", "item"), "finding", "left")
     outcome = F.when(F.col("item").isNotNull(), "applied").when(F.col("target") == "existing", "item gone").otherwise("no longer applies")
     return made.where("item is not null"), told.select("finding", outcome.alias("outcome"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.times import micros
 from ..operators import applying
 from ..operators import trials as T
+from ..sources.folders import settled
 from ..sources.tables import table
 from .registry import query
 
@@ -118,7 +119,7 @@ FROM last l JOIN plan own ON own.finding = l.finding LEFT JOIN plan p ON p.image
 UNION ALL SELECT -o_orderkey, 'no longer applies', NULL FROM orders WHERE o_orderkey % 97 = 0""")
 def trial_applied(spark, sf):
     """What applying the chosen findings of a trial does: the item that each becomes part of, or why it is left out."""
-    plan = plan_of(spark, sf)
+    plan = settled(plan_of(spark, sf).select("image", "step", "finding", "title", "target", "other", "q"))
     gone = table(spark, sf, "orders").where("o_orderkey % 97 = 0").select((-F.col("o_orderkey")).alias("finding"))
     chosen = plan.where("q % 3 = 0").select("finding").unionByName(gone)
     made, told = applying.apply_selected(plan, chosen, merged_items(spark, sf))
