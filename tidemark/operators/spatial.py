@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import spread
+
 
 def overlap_area(a: Column, b: Column) -> Column:
     """Area of the intersection; 0 if there is none."""
@@ -98,9 +100,12 @@ def suppressed(boxes: DataFrame) -> DataFrame:
 def reading_order(lines: DataFrame) -> DataFrame:
     """(image, id, place): by rows, then from left to right; a row starts where a top is over half the median height
     below the one before."""
-    middle = lines.groupBy("image").agg(F.element_at(F.array_sort(F.collect_list("box.h")), (F.count("*") / 2).cast("int") + 1).alias("m"))
-    down = Window.partitionBy("image").orderBy("box.y", "box.x", "id")
-    broken = lines.join(middle, "image").withColumn("new", (F.col("box.y") - F.coalesce(F.lag("box.y").over(down), F.col("box.y")) > F.col("m") / 2).cast("int"))
+    shared, each = Window.partitionBy("image"), spread(lines, "image")
+    height = F.col("box.h")
+    ranked = each.withColumn("_k", F.row_number().over(shared.orderBy(height.asc_nulls_last()))).withColumn("_n", F.count("*").over(shared))
+    down = shared.orderBy("box.y", "box.x", "id")
+    m = F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2) + 1, height)).over(shared)
+    broken = ranked.withColumn("m", m).withColumn("new", (F.col("box.y") - F.coalesce(F.lag("box.y").over(down), F.col("box.y")) > F.col("m") / 2).cast("int"))
     rows = broken.withColumn("row", F.sum("new").over(down.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.select("image", "id", F.row_number().over(Window.partitionBy("image").orderBy("row", "box.x", "box.y", "id")).cast("long").alias("place"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -23,3 +24,16 @@ def settled(df: DataFrame) -> DataFrame:
     path = work_folder(df.sparkSession, "settled")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: Rows of one table that a task sorts at once.
+SORTED = 250_000
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys to as many tasks as its rows need, so that what a task holds does not grow with the table.
+
+    For steps that sort or group by these keys afterwards and need no other shuffle. The rows are counted first.
+    """
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(usual, math.ceil(df.count() / SORTED)), *keys)
