@@ -10,7 +10,7 @@ from tidemark.sources import folders
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["reading_order"])
+@pytest.mark.parametrize("name", ["reading_order", "merge_repeats", "classification_from_windows"])
 def test_tasks_hold_few_rows(spark, monkeypatch, capsys, name):
     usual = sorted(map(str, catalogue.QUERIES[name](spark, SF).collect()))
     monkeypatch.setattr(folders, "SORTED", 100)

@@ -104,14 +104,14 @@ def merged_repeats(drafts: DataFrame) -> DataFrame:
     """(image, title, n, start, end, due, place) drafts with the same normalised title and a cited line in common as one.
 
     The first keeps its place and gets what it lacks from the next ones. Drafts meet by (image, title, line), and a
-    draft's group is its first draft over all its lines.
+    draft's group is its first draft over all its lines. Every step is by picture, so drafts that are dealt by picture stay where they are.
     """
-    keyed = drafts.withColumn("_t", normalise(F.col("title")))
-    cited = keyed.select("image", "_t", "n", F.explode_outer("lines").alias("_l"))
+    keyed = drafts.withColumn("_t", normalise(F.col("title"))).where("image is not null and _t is not null and n is not null")
+    cited = keyed.select("image", "_t", "n", "title", "start", "end", "due", "place", F.explode_outer("lines").alias("_l"))
     first = F.min("n").over(Window.partitionBy("image", "_t", "_l"))
-    root = cited.withColumn("_f", F.when(F.col("_l").isNull(), F.col("n")).otherwise(first)).groupBy("image", "_t", "n").agg(F.min("_f").alias("_f"))
+    met = cited.withColumn("_f", F.when(F.col("_l").isNull(), F.col("n")).otherwise(first)).withColumn("_f", F.min("_f").over(Window.partitionBy("image", "_t", "n")))
     fill = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("n"))).alias(c)
-    grouped = keyed.join(root, ["image", "_t", "n"]).groupBy("image", "_f").agg(F.min_by("title", "n").alias("title"), *[fill(c) for c in ("start", "end", "due", "place")])
+    grouped = met.groupBy("image", "_f").agg(F.min_by("title", "n").alias("title"), *[fill(c) for c in ("start", "end", "due", "place")])
     return grouped.select("image", F.col("_f").alias("n"), "title", "start", "end", "due", "place")
 
 

@@ -11,6 +11,7 @@ from ..operators import checks as C
 from ..operators import reading as R
 from ..operators import search as S
 from ..operators import spatial as G
+from ..sources.folders import spread
 from ..sources.tables import table
 from .registry import query
 
@@ -100,7 +101,7 @@ def merge_repeats(spark, sf):
 
     first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag"))
     n = F.col("l_linenumber")
-    rows = table(spark, sf, "lineitem").withColumn("u", first).where("u = 1").select(
+    rows = spread(table(spark, sf, "lineitem"), "l_orderkey").withColumn("u", first).where("u = 1").select(
         F.col("l_orderkey").alias("image"), n.alias("n"), F.concat(F.lit("title "), (n % 2).cast("string")).alias("title"), F.when(n % 3 > 0, F.col("l_quantity")).alias("start"),
         F.lit(None).cast("double").alias("end"), F.lit(None).cast("double").alias("due"), F.when(n > 2, F.col("l_linestatus")).alias("place"), F.array(F.floor(n / 4)).alias("lines"),
     )
@@ -123,7 +124,7 @@ def classification_from_windows(spark, sf):
 
     first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag"))
     kind = F.when(F.col("l_partkey") % 4 == 0, "chat").when(F.col("l_partkey") % 4 == 1, "other").when(F.col("l_partkey") % 4 == 2, "email")
-    rows = table(spark, sf, "lineitem").withColumn("u", first).where("u = 1").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("stack"), (F.col("l_returnflag") == "R").alias("relevant"), (F.col("l_linenumber") == 3).alias("chosen"), kind.alias("kind"))
+    rows = spread(table(spark, sf, "lineitem"), "l_orderkey").withColumn("u", first).where("u = 1").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("stack"), (F.col("l_returnflag") == "R").alias("relevant"), (F.col("l_linenumber") == 3).alias("chosen"), kind.alias("kind"))
     return R.kind_from_windows(rows)
 
 
