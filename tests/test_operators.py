@@ -37,6 +37,14 @@ def test_pairwise_resolution(spark):
     assert got == {(1, "title"): "Plan with Ana", (1, "place"): "x", (2, "title"): "B", (3, "title"): "mine"}
 
 
+def test_tied_observations(spark):
+    rows = [(k, "place", f"room {v}", "read", 0.9, 5, 1) for k in range(20) for v in (3, 1, 2)] + [(k, "place", "room 4", "read", 0.9, 5, 0) for k in range(20)]
+    kind = "item long, field string, value string, source string, confidence double, at long, seq int"
+    for stored in (rows, rows[::-1], sorted(rows, key=lambda r: r[2])):
+        got = [(r.item, r.value) for r in resolve.resolve_fields(spark.createDataFrame(stored, kind)).collect()]
+        assert sorted(got) == [(k, "room 3") for k in range(20)]
+
+
 def test_rectangles():
     assert sum(w * h for _, _, w, h in spatial.cut((0, 0, 10, 10), (2, 2, 3, 3))) == 91
     assert spatial.cut((0, 0, 4, 4), (9, 9, 2, 2)) == [(0, 0, 4, 4)]

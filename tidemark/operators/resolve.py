@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 def resolve_fields(observed: DataFrame) -> DataFrame:
     """(item, field, value, source) of (item, field, value, source, confidence, at, seq) observations.
 
-    What was read beats what was inferred; then the newest wins. This part of the rule is an order, so it is an
-    aggregate that combines before the shuffle. ``resolve_pairwise`` has the whole rule.
+    What was read beats what was inferred; then the newest wins, and of equals the greatest value, however the rows are
+    stored. This part of the rule is an order, so it is an aggregate that combines before the shuffle.
+    ``resolve_pairwise`` has the whole rule.
     """
-    best = F.max_by(F.struct("value", "source"), F.struct((F.col("source") == "read").cast("int").alias("r"), "at", "seq"))
+    best = F.max(F.struct((F.col("source") == "read").cast("int").alias("r"), "at", "seq", "value", "source"))
     return observed.where(F.col("value").isNotNull()).groupBy("item", "field").agg(best.alias("x")).select("item", "field", "x.value", "x.source")
 
 
