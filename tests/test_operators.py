@@ -45,6 +45,14 @@ def test_tied_observations(spark):
         assert sorted(got) == [(k, "room 3") for k in range(20)]
 
 
+def test_tied_windows(spark):
+    rows = [(k, 1, 1, 200, 100, (x, 5, 10, 10)) for k in range(20) for x in (40, 20, 30, 10)] + [(k, 1, 0, 200, 100, (90, 5, 10, 10)) for k in range(20)]
+    kind = "image long, window long, stack int, width int, height int, box struct<x: int, y: int, w: int, h: int>"
+    for stored in (rows, rows[::-1], sorted(rows, key=lambda r: r[5])):
+        got = [(r.image, r.box.x) for r in spatial.selected_windows(spark.createDataFrame(stored, kind), 3).collect()]
+        assert sorted(got) == [(k, x) for k in range(20) for x in (10, 20, 90)]
+
+
 def test_rectangles():
     assert sum(w * h for _, _, w, h in spatial.cut((0, 0, 10, 10), (2, 2, 3, 3))) == 91
     assert spatial.cut((0, 0, 4, 4), (9, 9, 2, 2)) == [(0, 0, 4, 4)]

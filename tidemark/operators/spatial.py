@@ -120,9 +120,9 @@ def evidence_region(box: Column, width: int, height: int) -> Column:
 
 
 def selected_windows(windows: DataFrame, most: int = 20) -> DataFrame:
-    """(image, window, stack, box): frames clipped to the picture (width, height), empty ones gone, the largest first, ties front to back."""
+    """(image, window, stack, box): frames clipped to the picture (width, height), empty ones gone, the largest first, ties front to back, then by their boxes, however they are stored."""
     inside = windows.withColumn("box", clip(F.col("box"), F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("width").alias("w"), F.col("height").alias("h")))).where("box is not null")
-    largest = Window.partitionBy("image").orderBy((F.col("box.w") * F.col("box.h")).desc(), "stack", "window")
+    largest = Window.partitionBy("image").orderBy((F.col("box.w") * F.col("box.h")).desc(), "stack", "window", "box")
     return inside.withColumn("_n", F.row_number().over(largest)).where(F.col("_n") <= most).select("image", "window", "stack", "box")
 
 
