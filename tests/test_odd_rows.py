@@ -47,6 +47,14 @@ def test_month_entries_above_all_cells(spark, tmp_path):
     assert got == want and {r[4] is None for r in got} == {True, False}
 
 
+def test_field_of_lines_without_part_or_flag(spark, tmp_path):
+    n, day = 210, dt.datetime(2024, 1, 1)
+    flags, parts = ["N", "A", None, "R", None], [1, None, 3]
+    rows = {"l_orderkey": pa.array([k // 4 for k in range(n)], pa.int64()), "l_partkey": pa.array([parts[k % 3] for k in range(n)], pa.int64()), "l_linenumber": pa.array([k % 4 for k in range(n)], pa.int32()), "l_returnflag": [flags[k % 5] for k in range(n)], "l_shipdate": pa.array([day + dt.timedelta(days=k % 7) for k in range(n)], pa.timestamp("us"))}
+    got, want = compared(spark, tmp_path, "field_survivorship", lineitem=rows)
+    assert got == want and {r[1] is None for r in got} == {True, False} == {r[2] == "read" for r in got}
+
+
 def test_states_before_in_a_long_log(spark, tmp_path):
     n, start = 20_000, dt.datetime(2024, 1, 1)
     rows = events([start + dt.timedelta(seconds=k) for k in range(n)], [None if k % 50 == 0 else 300 * (k % 3) for k in range(n)])  # one item has nearly all

@@ -105,10 +105,12 @@ def confidence_bands(spark, sf):
 
 
 def observations(spark, sf):
-    """Orders as items, their lines as sightings: (item, field, value, source, confidence, at, seq)."""
+    """Orders as items, their lines as sightings: (item, field, value, source, confidence, at, seq); without a part the value is empty, without a flag the source null."""
+    value = F.concat(F.lit("room "), (F.col("l_partkey") % 7).cast("string"))
+    source = F.when(F.col("l_returnflag") == "N", "read").when(F.col("l_returnflag").isNotNull(), "inferred")
     lines = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("item"), F.lit("place").alias("field"), F.concat(F.lit("room "), (F.col("l_partkey") % 7).cast("string")).alias("value"),
-        F.when(F.col("l_returnflag") == "N", "read").otherwise("inferred").alias("source"), F.lit(0.9).alias("confidence"), micros(F.col("l_shipdate")).alias("at"), F.col("l_linenumber").alias("seq"),
+        F.col("l_orderkey").alias("item"), F.lit("place").alias("field"), F.coalesce(value, F.lit("")).alias("value"),
+        source.alias("source"), F.lit(0.9).alias("confidence"), micros(F.col("l_shipdate")).alias("at"), F.col("l_linenumber").alias("seq"),
     )
     return lines
 
@@ -118,7 +120,8 @@ SELECT l_orderkey AS item, 'room ' || (l_partkey % 7) AS value, CASE WHEN l_retu
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'N') DESC, l_shipdate DESC, l_linenumber DESC) AS k FROM lineitem) WHERE k = 1""")
 def field_survivorship(spark, sf):
     """The value of a field: what was read beats what was inferred, then the newest."""
-    return resolve_fields(observations(spark, sf)).select("item", "value", "source")
+    found = resolve_fields(observations(spark, sf))
+    return found.select("item", F.nullif("value", F.lit("")).alias("value"), F.coalesce("source", F.lit("inferred")).alias("source"))
 
 
 @query("""
