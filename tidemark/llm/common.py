@@ -17,6 +17,8 @@ FOLDS = 5
 HOT_ROWS, HOT_KEYS = 2_000, 10_000
 #: Rows of a narrow table that is sent to all tasks instead of being joined by a shuffle.
 SENT_ROWS = 200_000
+#: Bits that tell which rows can have a partner in a table that is too large to be sent (8 MB, whatever its size).
+TOLD_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +79,35 @@ def sent_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT_ROWS else df
 
 
+def perhaps_in(rows: DataFrame, some: DataFrame, on: dict[str, str], out: str) -> DataFrame:
+    """Adds ``out``: false only where none of ``some``, by its columns ``on`` the right, has what the row has in those on the left.
+
+    Tasks get a bitmap of fixed size, in pieces of 4 KB that are made where the rows of ``some`` are grouped.
+    """
+    slot = lambda names: F.pmod(F.xxhash64(*names), F.lit(TOLD_BITS)) + 1
+    bits = some.select(slot(on.values()).alias("_ph_s")).groupBy(F.bitmap_bucket_number("_ph_s").alias("_ph_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_ph_s")).alias("_ph_bits"))
+    placed_rows = rows.withColumn("_ph_at", slot(on.keys()))
+    met = placed_rows.join(F.broadcast(bits), F.bitmap_bucket_number("_ph_at") == F.col("_ph_b"), "left")
+    at = F.bitmap_bit_position("_ph_at")
+    byte = F.conv(F.hex(F.substring("_ph_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.select(*rows.columns, F.coalesce(F.bit_get(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias(out))
+
+
+def met_with(rows: DataFrame, some: DataFrame, on: dict[str, str], how: str = "inner") -> DataFrame:
+    """``rows`` joined (``inner``) with the matching rows of ``some``, a kept narrow table, or those without any (``left_anti``); nulls match nulls.
+
+    A large ``some`` is joined by a shuffle, but only of the rows that can match: the others stay where they are.
+    """
+    same = F.lit(True)
+    for a, b in on.items():
+        same = same & F.col(a).eqNullSafe(F.col(b))
+    if some.count() <= SENT_ROWS:
+        return rows.join(F.broadcast(some), same, how)
+    told = perhaps_in(rows, some, on, "_mw_may")
+    found = told.where("_mw_may").drop("_mw_may").join(some, same, how)
+    return found if how == "inner" else told.where("not _mw_may").drop("_mw_may").unionByName(found)
+
+
 def looked_up(rows: DataFrame, small: DataFrame, key: str, n: str = "n") -> DataFrame:
     """``rows`` left-joined with ``small``, which has a row for each key, its values, and ``n``, how many rows have the key.
 

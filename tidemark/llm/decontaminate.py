@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, sent_if_small, settled, text_key
+from .common import lower_ascii, met_with, sent_if_small, settled, text_key
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 5
@@ -108,7 +108,7 @@ def find_contamination(documents: DataFrame, items: DataFrame, window: int = 13,
         near = hits.join(F.broadcast(prefix), "token").select("doc_id", "key", (F.col("p") - F.col("o")).alias("b"), "n", "w").where("b >= 0")
         near = near.groupBy("doc_id", "key").agg(F.collect_set(F.struct("b", F.col("n").alias("size"), "w")).alias("near"))
         near = settled(near.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "near"))
-        split = texts.join(sent_if_small(near), F.col("key").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        split = met_with(texts, near, {"key": "_key", "doc_id": "_id"})
         split = split.select("doc_id", "key", "near", words(F.col("text")).alias("dw"))
         fits = F.filter("near", lambda x: x["b"] + x["size"] <= F.size("dw"))
         cut = F.transform(fits, lambda x: F.struct(x["b"].alias("b"), x["size"].alias("size"), F.array_join(F.slice("dw", x["b"] + 1, x["size"]), " ").alias("text"), x["w"].alias("w")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, language_id, merkle, mixing, pii, prefix_trie, sharding, simhash, token_counts, token_files, topk_search, toxicity
-from .common import fold_of, held_out, lower_ascii, sent_if_small, settled, table
+from .common import fold_of, held_out, lower_ascii, settled, table
 
 
 def tokenizer_path() -> str:
@@ -73,7 +73,7 @@ def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.Model:
     part = toxicity.curve_part(F.col("doc_id"), told.count())
 
     def labelled(some: Column) -> DataFrame:
-        return documents.where((fold != 0) & some).select("doc_id", "text").join(sent_if_small(told.where(some)), "doc_id")
+        return toxicity.labelled(documents.where((fold != 0) & some), told.where(some))
 
     return toxicity.train(labelled(~part), labelled(part))
 

@@ -30,16 +30,18 @@ from __future__ import annotations
 import math
 import re
 import uuid
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import SENT_ROWS, perhaps_in, settled
 
 #: Letters before a letter that it follows from, discount, and counts that each class shares with the other.
 ORDER, DISCOUNT, SHARED = 9, 0.75, 100.0
@@ -47,8 +49,8 @@ ORDER, DISCOUNT, SHARED = 9, 0.75, 100.0
 LEAST_DOCUMENTS = 2
 #: Share of a document's events that decide, least evidence of a step that counts, letters of an event at most.
 TOP, LEAST, PIECE = 0.02, 0.1, 40
-#: Steps that are sent to tasks at most; more are joined.
-SENT_STEPS = 1_200_000
+#: Steps that are sent to tasks at most (some 13 bytes each, about 100 MB for a worker); more are joined.
+SENT_STEPS = 8_000_000
 #: Documents that the curve is fitted on at most, and the share of labelled documents if that is less.
 CURVE_ROWS, CURVE_SHARE, STEPS = 20_000, 0.25, 25
 #: Words kept for each worker.
@@ -84,8 +86,31 @@ def _grams(event: Column) -> Column:
     return F.transform(at, lambda k: F.substring(letters, F.greatest(k - ORDER, F.lit(0)) + 1, F.least(k, F.lit(ORDER)) + 1))
 
 
+def labelled(documents: DataFrame, told: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of the documents and labels of one id; (toxic, packed) if the labels, (doc_id, toxic), are too many to be sent.
+
+    Then the labels meet the packed distinct events of the documents that can have one: texts are not shuffled.
+    """
+    told = told.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
+    if told.count() <= SENT_ROWS:
+        return documents.select("doc_id", "text").join(F.broadcast(told), "doc_id")
+    held = told.withColumnRenamed("doc_id", "_lb_id")
+    near = perhaps_in(documents.select("doc_id", "text"), held, {"doc_id": "_lb_id"}, "_lb_may").where("_lb_may and text is not null")
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return pd.Series([zlib.compress("\n".join(dict.fromkeys(events(t))).encode("utf-8", "surrogatepass"), 1) for t in texts])
+
+    return near.select(F.col("doc_id").alias("_lb_doc"), packed("text").alias("packed")).join(held, F.col("_lb_doc") == F.col("_lb_id")).select("toxic", "packed")
+
+
+def _unpacked(packed: bytes) -> list[str]:
+    return [x for x in zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n") if x]
+
+
 def count_words(labelled: DataFrame) -> DataFrame:
-    """(word, t, o): toxic and ordinary documents that hold each word."""
+    """(word, t, o): toxic and ordinary documents that hold each word; of (toxic, text) or (toxic, packed) rows."""
+    held_as, held_in = ("packed", _unpacked) if "packed" in labelled.columns else ("text", events)
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -97,15 +122,15 @@ def count_words(labelled: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for text, kind in zip(batch["text"], batch["toxic"], strict=True):
-                held[kind].update(set(events(text)))
+            for x, kind in zip(batch[held_as], batch["toxic"], strict=True):
+                held[kind].update(set(held_in(x)))
                 if len(held[kind]) > 2 * KEPT:
                     yield packed(kind)
         for kind in held:
             if held[kind]:
                 yield packed(kind)
 
-    rows = labelled.select("text", "toxic").mapInPandas(words_of, "word string, t long, o long")
+    rows = labelled.select(held_as, "toxic").mapInPandas(words_of, "word string, t long, o long")
     return rows.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
@@ -170,19 +195,41 @@ class Table:
 
     def at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
-            return np.zeros(len(keys), bool), np.zeros((len(keys), self.values.shape[1]), np.float32)
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
         place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         there = self.keys[place] == keys
-        return there, np.where(there[:, None], self.values[place], np.float32(0))
+        return there, np.where(there, self.values[place], np.float32(0))
+
+
+@dataclass
+class Steps:
+    """Steps as tables for the tasks: evidence of the letters met after others, and of letters never met after some."""
 
+    known: Table
+    unknown: Table
 
-def _table(steps: DataFrame) -> Table:
-    """At most ``SENT_STEPS`` rows, for the tasks."""
-    value = ("known", "unknown", "seen")
-    found = steps.select("step", *[F.col(c).cast("float").alias(c) for c in value]).toArrow()
-    keys = np.concatenate([np.zeros(0, np.uint64), *[hashed(part.to_pylist()) for part in found["step"].chunks]])
-    order = np.argsort(keys)
-    return Table(keys[order], np.stack([found[c].to_numpy()[order] for c in value], 1))
+
+def _table(steps: DataFrame) -> Steps:
+    """At most ``SENT_STEPS`` rows, for the tasks. Steps are hashed where they are, so numbers alone come to the driver."""
+
+    def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"key": hashed(batch["step"].tolist()).view(np.int64), **{c: batch[c].astype(np.float32) for c in ("known", "unknown")}, "seen": batch["seen"]})
+
+    found = steps.select("step", "known", "unknown", "seen").mapInPandas(numbers, "key long, known float, unknown float, seen boolean").toArrow()
+    keys, seen = found["key"].to_numpy().view(np.uint64), found["seen"].to_numpy()
+
+    def part(which: np.ndarray, value: str) -> Table:
+        some = np.flatnonzero(which)
+        some = some[np.argsort(keys[some])]
+        return Table(keys[some], found[value].to_numpy()[some])
+
+    return Steps(part(seen, "known"), part(found["unknown"].to_numpy() != 0, "unknown"))
+
+
+def sent_if_few(steps: DataFrame) -> Steps | DataFrame:
+    """The steps as tables for the tasks, or as they are if there are too many."""
+    return _table(steps) if steps.count() <= SENT_STEPS else steps
 
 
 _known: dict[str, dict[str, float]] = {}
@@ -190,11 +237,18 @@ _known: dict[str, dict[str, float]] = {}
 
 @dataclass
 class Model:
-    steps: Table | DataFrame  # evidence of a letter after others, of one never met after these, and whether the letter was; or too many for a table
+    steps: Steps | DataFrame  # evidence of a letter after others, and of one never met after these; or too many for tables
     slope: float = 1.0
     offset: float = 0.0
     empty: bool = False
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
+    sent: Broadcast | None = None
+
+    def in_tasks(self, spark: SparkSession) -> Callable[[], Model]:
+        """Gives the model inside tasks; its tables are sent once, however often it is asked for."""
+        sent = self.sent = self.sent or spark.sparkContext.broadcast(self.steps)
+        rest = (self.slope, self.offset, self.empty, self.name)
+        return lambda: Model(sent.value, *rest)
 
     def word_evidence(self, words: list[str]) -> np.ndarray:
         """Toxic less ordinary log-likelihood of each event's letters: of the step if it was seen, else of what may follow its letters."""
@@ -209,11 +263,10 @@ class Model:
         before = upto[:, k] - upto[:, begun] * power[k - begun]
         own = upto[:, k + 1] - upto[:, begun] * power[k - begun + 1]
         row, col = np.nonzero((k >= first[:, None]) & (k < sizes[:, None]))
-        there, value = self.steps.at(own[row, col])
-        seen = there & (value[:, 2] > 0)
-        np.add.at(out, row[seen], value[seen, 0])
+        seen, value = self.steps.known.at(own[row, col])
+        np.add.at(out, row[seen], value[seen])
         row, col = row[~seen], col[~seen]
-        np.add.at(out, row, self.steps.at(before[row, col])[1][:, 1])
+        np.add.at(out, row, self.steps.unknown.at(before[row, col])[1])
         return out
 
     def known(self, words: set[str]) -> dict[str, float]:
@@ -247,17 +300,19 @@ class Model:
 
 
 def _usable(labelled: DataFrame) -> DataFrame:
-    return labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1))
+    """Without rows that teach nothing; packed rows have none."""
+    return labelled if "packed" in labelled.columns else labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1))
 
 
 def train(counting: DataFrame, fitting: DataFrame) -> Model:
-    """Learns counts from ``counting`` and the curve from ``fitting``, both (doc_id, text, toxic) rows without a document in common."""
+    """Learns counts from ``counting`` and the curve from ``fitting``, rows without a document in common: (doc_id, text, toxic), or as ``labelled`` gives them to be counted."""
     counted = settled(count_words(_usable(counting)))
     classes = counted.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("o"), F.lit(0)).alias("o")).first()
     if not classes["t"] or not classes["o"]:
-        return Model(Table(np.zeros(0, np.uint64), np.zeros((0, 3), np.float32)), empty=True)
+        none = Table(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+        return Model(Steps(none, none), empty=True)
     steps = settled(spelling_steps(counted))
-    model = Model(_table(steps) if steps.count() <= SENT_STEPS else steps)
+    model = Model(sent_if_few(steps))
     sample = _usable(fitting).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE_ROWS)
     fitted = evidence_of(sample, model).select("evidence", F.col("toxic").cast("double")).toPandas()
     model.slope, model.offset = fit_curve(fitted["evidence"].to_numpy(), fitted["toxic"].to_numpy())
@@ -289,12 +344,13 @@ def evidence_of(documents: DataFrame, model: Model, text: str = "text") -> DataF
     """Adds ``evidence``."""
     if isinstance(model.steps, DataFrame):
         return _joined_evidence(documents, model.steps, text)
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    there = model.in_tasks(documents.sparkSession)
 
     @F.pandas_udf("double")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = there()
         for texts in batches:
-            yield pd.Series(sent.value.evidence(list(texts)))
+            yield pd.Series(model.evidence(list(texts)))
 
     return documents.withColumn("evidence", measured(F.col(text)))
 
@@ -332,12 +388,12 @@ def score_documents(documents: DataFrame, model: Model, text: str = "text") -> D
         x = F.least(F.greatest(F.lit(model.slope) * F.col("evidence") + model.offset, F.lit(-500.0)), F.lit(500.0))
         scored_rows = evidence_of(documents, model, text).withColumn("score", 1 / (1 + F.exp(-x))).drop("evidence")
         return scored_rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    there = model.in_tasks(documents.sparkSession)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = there()
         for texts in batches:
-            model = sent.value
             yield pd.Series(np.zeros(len(texts)) if model.empty else model.score(model.evidence(list(texts))))
 
     return documents.withColumn("score", scored(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
