@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
+from ..sources.folders import settled
 
 #: Kinds of findings and screens, tag values that say nothing, and system windows' names.
 KINDS = ("appointment", "task", "reminder", "deadline")
@@ -181,32 +182,65 @@ def is_system(app: Column, bundle: Column, own: str | None = None) -> Column:
     return F.coalesce(F.lower(app).isin(*names), F.lit(False)) | F.coalesce(F.lower(bundle).isin(*bundles), F.lit(False))
 
 
-#: Letters that a sensitive string is looked up by.
-KEYED = 4
+#: Letters of a sensitive string that are looked up (longer ones: their last), and letters of a text that are cut at a time.
+KEYED, CUT = 64, 1_000
 
 
 def loggable(lines: DataFrame, text: str, sensitive: DataFrame, string: str, words: int = 12, most: int = 1_000) -> DataFrame:
     """Lines of at most ``words`` words that hold no sensitive string, whatever its case.
 
-    Up to ``most`` strings become one pattern, so lines are read once and stay where they are. More of them meet the distinct
-    lines by their first ``KEYED`` letters (all, if they have fewer): the same lines are left at every size.
+    Up to ``most`` strings become one pattern, so lines are read once and stay where they are. More of them are looked up among the
+    runs of letters of the distinct words, or of the distinct lines if they have blanks: a run meets a string only if it is that string,
+    so strings that begin alike make no pairs; the same lines are left at every size.
     Both grow with the text and pack well, so that a table of them looks small enough to be sent: these joins shuffle.
     """
     short = lines.where(F.size(F.split(text, " ")) <= words)
-    strings = sensitive.select(F.lower(string).alias("s")).where(F.length("s") > 0).distinct()
+    strings = settled(sensitive.select(F.lower(string).alias("s")).where(F.length("s") > 0).distinct())
     few = [r["s"] for r in strings.limit(most + 1).collect()]
     if len(few) <= most:
         return short.where(~F.lower(text).rlike("|".join(map(_literal, sorted(few))))) if few else short
-    keyed = strings.withColumn("_g", F.substring("s", 1, KEYED))
-    low = short.select(F.lower(text).alias("_low")).distinct()
-    bad = low.select("_low", F.explode(F.array_distinct(F.concat(*[_grams("_low", n) for n in range(1, KEYED + 1)]))).alias("_g"))
-    bad = bad.join(keyed.hint("merge"), "_g").where(F.col("_low").contains(F.col("s"))).select("_low").distinct()
-    return short.withColumn("_low", F.lower(text)).join(bad.hint("merge"), "_low", "left_anti").drop("_low")
+    low, blank = F.lower(text), F.col("s").contains(" ")
+    lines_of = short.select(*_names(low, "line"), low.alias("_low"))
+    each = lines_of.select("line_a", "line_b", F.explode(F.split("_low", " ")).alias("_w"))
+    bad = _holding(each.select("_w").distinct(), "_w", strings.where(~blank)).select(F.col("a").alias("word_a"), F.col("b").alias("word_b"))
+    bad = each.select("line_a", "line_b", *_names(F.col("_w"), "word")).join(bad.hint("merge"), ["word_a", "word_b"], "left_semi").select("line_a", "line_b")
+    if strings.where(blank).take(1):
+        bad = bad.union(_holding(lines_of.select("_low").distinct(), "_low", strings.where(blank)))
+    named = short.select(*[F.col(c) for c in short.columns], *_names(low, "_line"))
+    same = (F.col("_line_a") == F.col("line_a")) & (F.col("_line_b") == F.col("line_b"))
+    return named.join(bad.distinct().hint("merge"), same, "left_anti").select(*short.columns)
 
 
-def _grams(text: str, n: int) -> Column:
-    """Every run of n letters."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda k: F.substring(text, k, n))
+def _names(text: Column, of: str) -> list[Column]:
+    """128 bits that tell a text from others."""
+    return [F.xxhash64(text).alias(f"{of}_a"), F.xxhash64(F.lit("b"), text).alias(f"{of}_b")]
+
+
+def _holding(texts: DataFrame, text: str, strings: DataFrame) -> DataFrame:
+    """(a, b): names of the distinct texts that hold one of the strings ``s``.
+
+    Texts are cut in pieces and these in runs of as many letters as strings have, up to ``KEYED``; of longer strings the last
+    ``KEYED`` letters are met, and what meets is compared whole.
+    """
+    size = F.least(F.length("s"), F.lit(KEYED))
+    sizes = sorted(r["n"] for r in strings.select(size.alias("n")).distinct().collect())  # at most KEYED numbers
+    known = F.array(*[F.lit(n) for n in sizes]).cast("array<int>")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / CUT).cast("int")), lambda k: F.substring(text, k * CUT + 1, F.lit(CUT + KEYED - 1)))
+    cut = texts.where(F.length(text) > 0).select(*_names(F.col(text), "t"), F.explode(pieces).alias("p"))
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.length("p"), F.lit(CUT))), lambda k: F.substring("p", k, F.lit(KEYED)))
+    begun = cut.select("t_a", "t_b", F.explode(starts).alias("p"))
+    run = lambda n: F.struct(*[c.alias(k) for c, k in zip(_names(F.substring("p", F.lit(1), n), "r"), ("x", "y"), strict=True)])
+    runs = begun.select("t_a", "t_b", F.explode(F.transform(F.filter(known, lambda n: n <= F.length("p")), run)).alias("r")).select("t_a", "t_b", "r.x", "r.y")
+    keyed = strings.withColumn("k", F.substring("s", -KEYED, KEYED)).select(*[c.alias(k) for c, k in zip(_names(F.col("k"), "k"), ("x", "y"), strict=True)], "s")
+    whole = keyed.where(F.length("s") <= KEYED).select("x", "y")
+    found = runs.join(whole.hint("merge"), ["x", "y"], "left_semi").select(F.col("t_a").alias("a"), F.col("t_b").alias("b"))
+    if KEYED in sizes:
+        long = keyed.where(F.length("s") > KEYED)
+        met = runs.join(long.hint("merge"), ["x", "y"]).select(F.col("t_a").alias("a"), F.col("t_b").alias("b"), "s").distinct()
+        named = texts.select(*_names(F.col(text), "n"), text)
+        met = met.join(named.hint("merge"), (F.col("a") == F.col("n_a")) & (F.col("b") == F.col("n_b"))).where(F.col(text).contains(F.col("s")))
+        found = found.union(met.select("a", "b"))
+    return found.distinct()
 
 
 def _literal(text: str) -> str:

@@ -48,11 +48,12 @@ WITH w AS (SELECT w, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(str
 l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INT AS n, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT doc_id, n FROM l WHERE len(string_split(line, ' ')) <= 12 AND NOT EXISTS (SELECT 1 FROM s WHERE contains(lower(line), s.x))""")
 def log_sanitiser_words(spark, sf):
-    """The same for strings that grow with the corpus: the words of single documents."""
+    """The same for strings that grow with the corpus: the words of single documents. No line holds one with a line break."""
     docs = table(spark, sf, "documents")
-    words = docs.select("doc_id", F.explode(F.split("text", " ")).alias("w")).where("w <> ''").groupBy("w").agg(F.count_distinct("doc_id").alias("n"))
+    words = docs.select("doc_id", F.explode(F.split("text", " ")).alias("w")).where(~F.col("w").contains("\n") & (F.col("w") != ""))
+    words = words.groupBy("w").agg((F.min("doc_id") == F.max("doc_id")).alias("single"))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return loggable(lines.withColumn("n", F.col("n") + 1), "line", words.where("n = 1"), "w").select("doc_id", "n")
+    return loggable(lines.withColumn("n", F.col("n") + 1), "line", words.where("single"), "w").select("doc_id", "n")
 
 
 @query("""
