@@ -19,6 +19,8 @@ HOT_ROWS, HOT_KEYS = 2_000, 10_000
 SENT_ROWS = 200_000
 #: Bits that tell which rows can have a partner in a table that is too large to be sent (8 MB, whatever its size).
 TOLD_BITS = 1 << 26
+#: Whole texts that Python gets at a time at most, where a stage hands over all of them.
+TEXTS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +67,14 @@ def dealt_by_size(spark: SparkSession, rows: int, each: int = 50_000) -> Iterato
         spark.conf.set("spark.sql.shuffle.partitions", usual)
 
 
+def texts_in_small_batches(spark: SparkSession) -> None:
+    """From now on Python gets rows in batches of ``TEXTS`` at most: both sides hold a batch of whole texts several times, outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = int(spark.conf.get(name))
+    if usual <= 0 or usual > TEXTS:
+        spark.conf.set(name, str(TEXTS))
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
